@@ -22,6 +22,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("try_cast(key AS BIGINT)").alias("doc_id"), *rows.columns[1:])
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import substrings
+
+    kept = substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import extraction
 
@@ -35,14 +42,31 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import secrets
 
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import decontamination
+
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op4_html_extraction, op6_token_counts, op9_secret_scans)}
+    return {f.__name__: f for f in (
+        op1_media_columns, op3_substring_dedup, op4_html_extraction, op6_token_counts, op7_minhash_near_dedup, op9_secret_scans,
+        op10_benchmark_decontamination,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
