@@ -1,23 +1,72 @@
-"""The corpus pipeline: quality filter, near-dedup, decontamination, secret redaction, source mixing."""
+"""The corpus pipeline: quality filter, near-dedup, decontamination, secret redaction, source mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. ``run`` writes
+each result as Parquet in the shared folder and reads it back as the next stage's input. The last stage adds the
+training order (slot, offset) to every document. Rows with the same id count as one document in near-dedup; the other stages
+judge each row by its own text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scanloom.llm import common, decontamination, minhash, mixing, quality, secrets
+
+ORACLE_SQL = None  # the classifier's fit and the sketches cannot be put in SQL; tests/llm hold the stages to brute force
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality reaches the classifier's threshold."""
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.keep_good(docs, quality.train(documents, labels))
+
 
-from scanloom.llm import secrets
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each near-duplicate component (five-word shingles, similarity 0.8)."""
+    found = minhash.near_duplicates(docs)
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(common.KEY)).distinct().hint("shuffle_hash")
+    return _one_each(docs.join(gone, docs["doc_id"] == F.col(common.KEY), "left_anti"))
 
-ORACLE_SQL = None
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """Of rows with the same id and text, one. Rows met so are found by a narrow count; only they are dealt anew."""
+    key = common.row_key("doc_id", "text")
+    again = docs.groupBy(key.alias(common.KEY)).count().where("count > 1").select(common.KEY)
+    if not again.limit(1).count():
+        return docs
+    marked = docs.withColumn(common.KEY, key)
+    return marked.dropDuplicates([common.KEY]).drop(common.KEY)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(common.KEY)).distinct().hint("shuffle_hash")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(common.KEY)), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked and n_chars set anew."""
     return secrets.redact_table(docs)
 
 
-STAGES = [("secret_scans", redact_secrets)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in the mixture."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality_classifier", drop_low_quality),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("mixing_sources", mix),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -22,6 +22,12 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.expr("try_cast(key AS BIGINT)").alias("doc_id"), *rows.columns[1:])
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import lm
+
+    return lm.score_table(_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import substrings
 
@@ -35,6 +41,13 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import mixing
+
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", *mixing.ADDED)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import common, counts
 
@@ -48,6 +61,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanloom.llm import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import secrets
 
@@ -64,8 +85,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_media_columns, op3_substring_dedup, op4_html_extraction, op6_token_counts, op7_minhash_near_dedup, op9_secret_scans,
-        op10_benchmark_decontamination,
+        op1_media_columns, op2_lm_scoring, op3_substring_dedup, op4_html_extraction, op5_source_mixing, op6_token_counts,
+        op7_minhash_near_dedup, op8_quality_classifier, op9_secret_scans, op10_benchmark_decontamination,
     )}
 
 
