@@ -152,7 +152,7 @@ def _nearest(spark: SparkSession, queries: DataFrame, points: DataFrame, radius:
     return spatial.nearest_join(queries.where("valid"), index, radius, kind=kind)
 
 
-@_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH)) + f"SELECT s.idx, n.r_idx, {q_sql('sqrt(n.d2)')} AS distance_um FROM scan s LEFT JOIN near n USING (idx) WHERE s.valid")
+@_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH)) + f"SELECT s.idx, n.r_idx, {q_sql('CAST(sqrt(CAST(n.d2 AS DOUBLE)) AS FLOAT)')} AS distance_um FROM scan s LEFT JOIN near n USING (idx) WHERE s.valid")
 def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _nearest(spark, d.scan(spark, sf_dir), d.reference(spark, sf_dir), d.SEARCH)
     return out.select("idx", "r_idx", q(F.col("r_distance")).alias("distance_um"))
@@ -299,8 +299,8 @@ def _cluster_sql(candidates: str) -> str:
 edges AS MATERIALIZED (SELECT a.class, a.idx AS i, b.idx AS j, {_D2} AS d2 FROM candidates a JOIN candidates b ON a.class = b.class AND a.idx <> b.idx AND b.x BETWEEN a.x - 0.61 AND a.x + 0.61 AND b.y BETWEEN a.y - 0.61 AND a.y + 0.61 WHERE {_D2} <= {d.TOLERANCE}e0 * {d.TOLERANCE}e0),
 reach(class, idx, root) AS (SELECT class, idx, idx FROM candidates UNION SELECT e.class, e.j, r.root FROM reach r JOIN edges e ON e.class = r.class AND e.i = r.idx),
 labels AS (SELECT class, idx, min(root) AS cluster FROM reach GROUP BY class, idx),
-near AS (SELECT class, i AS idx, sqrt(min(d2)) AS near_mm FROM edges GROUP BY class, i),
-clusters AS (SELECT c.*, l.cluster, n.near_mm, count(*) OVER (PARTITION BY c.class, l.cluster) AS size FROM candidates c JOIN labels l USING (class, idx) LEFT JOIN near n USING (class, idx) QUALIFY size >= {d.MIN_POINTS}),
+beside AS (SELECT class, i AS idx, sqrt(min(d2)) AS near_mm FROM edges GROUP BY class, i),
+clusters AS (SELECT c.*, l.cluster, n.near_mm, count(*) OVER (PARTITION BY c.class, l.cluster) AS size FROM candidates c JOIN labels l USING (class, idx) LEFT JOIN beside n USING (class, idx) QUALIFY size >= {d.MIN_POINTS}),
 regions AS (SELECT class, cluster, count(*) AS point_count, avg(CAST(x AS DOUBLE)) AS cx, avg(CAST(y AS DOUBLE)) AS cy, avg(CAST(z AS DOUBLE)) AS cz, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, max(abs(signed_mm)) AS max_abs_mm, avg(signed_mm) AS mean_mm, sqrt(avg(signed_mm * signed_mm)) AS rms_mm, quantile_disc(abs(signed_mm), 0.95) AS p95_abs_mm, CASE WHEN count(*) >= 2 THEN avg(near_mm) * avg(near_mm) * count(*) END AS area FROM clusters GROUP BY class, cluster) """
 
 
