@@ -1,51 +1,16 @@
-"""Shared folder handling and small DataFrame helpers of the training-data operators."""
+"""Small helpers of the training-data operators; the shared folder is the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Name of the internal row key; long and prefixed so that it does not clash with input columns.
-KEY = "__scanloom_key"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temp folder only where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="scanloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/scanloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop_path)
-    fs.deleteOnExit(hadoop_path)
-    return path
+from scanloom.storage import cut, scratch, shared_dir, stored
 
+__all__ = ["KEY", "ascii_bucket", "cut", "row_key", "scratch", "shared_dir", "stored"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark drops its files with the last reference."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Name of an internal row key; long and prefixed so that it does not clash with input columns.
+KEY = "__scanloom_key"
 
 
 def ascii_bucket(id_column: str, modulus: int) -> Column:
@@ -56,7 +21,3 @@ def ascii_bucket(id_column: str, modulus: int) -> Column:
 def row_key(*columns: str) -> Column:
     """Never-null 64-bit key of a row's id and content."""
     return F.xxhash64(*columns)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,9 +8,9 @@ and the number that agree is concentrated as for independent samples. Long docum
 Steps: (1) rows with equal shingle sets (count and 128-bit digest) form a class with its least id, by an
 aggregate that is combined before the shuffle, so thousands of copies cost one row per task. (2) Class representatives are put
 into one bucket per band. (3) In each bucket every member is compared with one leader, not with
-every other; links are confirmed on full sets, components are found, and buckets whose members are not yet
-in one component go on with another leader and, last, with all pairs of members from different components
-that their sizes allow. No pair in a bucket is left both untried and unconnected, so no link is lost to the grouping.
+every other; links are confirmed on full sets and components are found. (4) Buckets whose members are not in one component
+are compared across components in blocks of bounded size. No pair in a bucket is left both
+untried and unconnected, so no link is lost to the grouping.
 
 With 50 bands of 7 rows a pair at similarity 0.8 shares no band with probability below 1e-5, and pairs at 0.05 share
 one with probability 4e-8, so that chance buckets stay rare in large corpora.
@@ -31,15 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import cut, stored
-from scanloom.llm.components import components
 from scanloom.llm.tokens import grams, mix, slices, split_words
+from scanloom.operators.components import sized_components
 
 BANDS = 50
 ROWS = 7
 SLICE_BYTES = 4 << 20
-LEADER_ROUNDS = 3
-#: All pairs of different components are tried at once when they are at most so many times the bucket rows.
-PAIRS_PER_ROW = 4
+#: Blocks of large groups hold sets of about so many shingles (8 bytes each).
+BLOCK_SHINGLES = 500_000
 #: Ids are broadcast to the text scan up to so many rows of 8 bytes; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 _NULL_BASE = 1 << 62
@@ -141,6 +140,14 @@ def _sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(pack, "id long, d1 long, set binary")
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sets without repeats."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
@@ -148,11 +155,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good[i] = 100 * common >= percent * (len(both) - common)
+                good[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
@@ -160,6 +163,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _shared(batch: pa.Table, percent: int) -> pa.Table:
+    """Links found in one block: each minority row against all rows that share a bucket and are not connected yet."""
+    ids = batch["id"].to_numpy()
+    _, rows = np.unique(ids, return_index=True)  # a row may come as both roles
+    ids, labels, sizes = ids[rows], batch["component"].to_numpy()[rows], batch["n"].to_numpy()[rows]
+    minor = dict(zip(batch["id"].to_pylist(), batch["minor"].to_pylist()))
+    sets = [np.frombuffer(batch["set"][int(r)].as_buffer(), np.uint64) for r in rows]
+    buckets: dict[int, list[int]] = {}
+    own = [batch["buckets"][int(r)].as_py() for r in rows]
+    for i, keys in enumerate(own):
+        for key in keys:
+            buckets.setdefault(key, []).append(i)
+    root = {c: c for c in labels.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found: list[tuple[int, int]] = []
+    for i in range(len(ids)):
+        if not minor[int(ids[i])]:
+            continue
+        for j in {j for key in own[i] for j in buckets[key]}:
+            x, y = find(int(labels[i])), find(int(labels[j]))
+            if x == y or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
+                continue
+            if _similar(sets[i], sets[j], percent):
+                root[max(x, y)] = min(x, y)
+                found.append((int(ids[i]), int(ids[j])))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within buckets (bucket, id, n, leader, component).
+
+    Rows that hang together over buckets form a group. Its most frequent component is its majority; any pair of
+    different components has a row outside that. So the group is cut into blocks of bounded size, and its other rows, in blocks too, meet
+    each of them. Small groups share a block. No list of pairs is made.
+    """
+    groups = sized_components(open_.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
+    rows = open_.groupBy("id", "n", "component").agg(F.collect_set("bucket").alias("buckets")).join(groups.withColumnsRenamed({"id": "g", "component": "grp"}), F.col("id") == F.col("g"))
+    rows = cut(rows.select("id", "n", "component", "buckets", "grp"))
+    counts = rows.groupBy("grp", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    shape = counts.groupBy(F.col("grp").alias("of")).agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.sum("s").alias("total"), (F.sum("s") - F.max_by("s", F.struct("c", "component"))).alias("rest"))
+    blocks = lambda c: F.ceil(F.greatest(F.col(c), F.lit(1)) / F.lit(BLOCK_SHINGLES)).cast("int")
+    shape = shape.withColumns({"blocks": blocks("total"), "others": blocks("rest")})
+    known = rows.join(shape, F.col("grp") == F.col("of")).withColumn("minor", F.col("component") != F.col("major"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    bins = max(1, -(-total // BLOCK_SHINGLES))
+    place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    small = (F.col("blocks") == 1) & (F.col("others") == 1)
+    shared = known.where(small).withColumns({"key": F.lit(-1).cast("long"), "i": F.pmod(F.xxhash64("grp"), F.lit(bins)).cast("int"), "j": F.lit(0)})
+    large = known.where(~small)
+    one = large.withColumns({"key": F.col("grp"), "i": place("blocks"), "j": F.explode(F.sequence(F.lit(0), F.col("others") - 1))})
+    two = large.where("minor").withColumns({"key": F.col("grp"), "i": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "j": place("others")})
+    kept = ["key", "i", "j", "id", "n", "component", "buckets", "minor"]
+    dealt = shared.select(kept).unionByName(one.select(kept)).unionByName(two.select(kept))
+    full = dealt.join(sets.select(F.col("id").alias("sid"), "set"), F.col("id") == F.col("sid")).drop("sid")
+    return full.groupBy("key", "i", "j").applyInArrow(lambda table: _shared(table, percent), "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row; see the module's description."""
     spark = df.sparkSession
@@ -170,8 +236,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     classes = cut(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")))
 
     own = signed.join(classes.withColumnsRenamed({"d1": "c1", "d2": "c2", "n": "cn"}), F.expr("id = rep AND d1 = c1 AND d2 = c2 AND n = cn"), "left_semi")
-    buckets = own.select("id", "n", F.explode("bands").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("leader")).where("members > 1")
+    buckets = own.select("id", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.max("id").alias("last"), F.min("id").alias("leader")).where("leader < last").drop("last")
     members = stored(buckets.join(shared, "bucket").select("bucket", "id", "n", "leader"), "buckets")
 
     ids = members.select(F.col("id").alias("wanted")).distinct()
@@ -182,35 +248,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
     sized = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     first = members.where("id != leader").join(members.where("id = leader").select("bucket", F.col("n").alias("m")), "bucket").where(sized)
-    tried = cut(first.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(_verified(tried, sets, percent))
-    labels = components(links)
-    for turn in range(LEADER_ROUNDS + 1):
-        placed = members.join(labels, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-        split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        left = cut(placed.join(split, "bucket").repartition("bucket"))
-        # pairs of different components in a bucket: (members^2 - sum of squares of component sizes) / 2
-        sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        pairs, total = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
-        if not total:
-            break
-        whole = turn == LEADER_ROUNDS or pairs <= PAIRS_PER_ROW * total
-        other = left.withColumnsRenamed({"id": "other", "n": "m", "component": "apart"})
-        if not whole:
-            chosen = other.groupBy("bucket").agg(F.min_by(F.struct("other", "m", "apart"), F.xxhash64("other", F.lit(turn))).alias("s")).select("bucket", "s.*")
-            met = left.join(chosen, "bucket").where("component != apart")
-        else:
-            met = left.join(other, "bucket").where("component < apart")
-        found = met.where(sized).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        fresh = cut(found.join(tried, ["a", "b"], "left_anti"))
-        good = cut(_verified(fresh, sets, percent))
-        grown = good.limit(1).count() > 0
-        if grown:
-            links = cut(links.unionByName(good))
-            labels = components(links)
-        if whole:
-            break
-        tried = cut(tried.unionByName(fresh))
+    links = cut(_verified(first.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), sets, percent))
+    placed = cut(members.join(sized_components(links), "id", "left").select("bucket", "id", "n", "leader", F.coalesce("component", "id").alias("component")))
+    split = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    open_ = cut(placed.join(split, "bucket"))
+    links = links.unionByName(_across(open_, sets, percent))
+    labels = sized_components(links)
 
     rep = signed.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = rep.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
