@@ -27,13 +27,15 @@ from scanloom.llm.common import ascii_bucket
 from scanloom.llm.tokens import slices, split_words, text_bytes
 
 FOLDS = 5
-SAMPLE = 4000
+SAMPLE = 2000
 SAMPLE_BYTES = 64 << 10
 THRESHOLD = 0.3
 STEPS = 150
 RATE = 0.05
 PENALTY = 1e-3
 SLICE_BYTES = 4 << 20
+#: The sample's features are computed for so many texts at a time.
+FIT_TEXTS = 100
 
 # Classes of bytes. 0 lower, 1 upper, 2 digit, 3 white space, 4 non-ASCII, then ASCII signs in groups.
 _GROUPS = (b".", b",;:", b"!?", b"|", b"\"'`", b"()[]{}<>", b"#@&%$", b"*~^_=+", b"-/\\")
@@ -169,13 +171,17 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Model:
     if not len(texts):
         return Model(np.zeros(FEATURES), 0.0, np.zeros((2, 2)), np.zeros(2), 0.5)
     prior = float(labels.mean())
-    found = lines_of(pa.array(texts, pa.large_string()))
-    x, first = found.features, found.first
-    if not len(x) or prior in (0.0, 1.0):
+    parts = [lines_of(pa.array(texts[i : i + FIT_TEXTS], pa.large_string())) for i in range(0, len(texts), FIT_TEXTS)]
+    counts = np.concatenate([np.diff(part.first) for part in parts])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    z = np.concatenate([part.features.astype(np.float32) for part in parts])
+    del parts
+    if not len(z) or prior in (0.0, 1.0):
         return Model(np.zeros(FEATURES), float(40 * prior - 20), np.zeros((2, 2)), np.zeros(2), prior)
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(spread > 1e-9, 1 / np.maximum(spread, 1e-9), 0.0)
-    z = ((x - mean) * scale).astype(np.float32)
+    mean, spread = z.mean(axis=0, dtype=float), z.std(axis=0, dtype=float)
+    scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 1e-6), 0.0)
+    z -= mean.astype(np.float32)
+    z *= scale.astype(np.float32)
     y = np.repeat(labels, np.diff(first)).astype(float)
     seen_pairs, seen_open = np.zeros((2, 2)), np.zeros(2)
     many = np.diff(first)
