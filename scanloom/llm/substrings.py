@@ -4,7 +4,7 @@ Seeds: every window of ``span`` words holds ``span - K + 1`` runs of K words; th
 anchor (winnowing), so equal windows have equal anchors and any shared span of ``span`` words shares one.
 Join: anchors are counted over the whole corpus; those that occur twice form a bitmap of bounded size that
 only spares work: a full bitmap lets every window through and changes no result.
-Extend: every window around a repeated anchor, at each reach to the left and right, is joined on a 128-bit hash of all
+Extend: every window around a repeated anchor, at each reach to the left and right, is joined on a 96-bit hash of all
 its words. The words covered by windows found twice are the maximal repeats of at least ``span`` words.
 
 Equal windows inside one block of text are settled there and leave one witness, so a passage that many
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import cut
@@ -31,6 +32,8 @@ from scanloom.llm.tokens import Words, grams, slices, split_words
 SPAN = 35
 K = 11
 SLICE_BYTES = 8 << 20
+#: Kinds of rows between the scan and the join.
+WINDOW, WITNESS, RUN = 0, 1, 2
 #: The bitmap of repeated anchors has so many bits for each anchor, and at most so many in all (16 MB).
 BITS_PER_ANCHOR = 16
 MAX_BITS = 1 << 27
@@ -87,7 +90,11 @@ def _bitmap(repeated: DataFrame) -> Broadcast:
 
 
 def _windows(rows: DataFrame, bitmap: Broadcast, span: int, k: int) -> DataFrame:
-    """Rows (h1, h2, id, r, pos, len). ``len`` 1: a window to be settled; 0: a witness; more: starts known to repeat."""
+    """Rows (h1, h2, id, at). ``at`` packs the text's hash, the kind of row and a position; see ``at``.
+
+    A window to be settled has its 96-bit hash; a witness has no place of its own; a run of starts known
+    to repeat has its length in h2 and is spread by h1.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = bitmap.value
@@ -114,18 +121,14 @@ def _windows(rows: DataFrame, bitmap: Broadcast, span: int, k: int) -> DataFrame
             lengths = np.diff(np.append(heads, len(known)))
             owner = np.concatenate([text[at[single]], text[at[witness]], text[known[heads]]])
             start = np.concatenate([at[single], at[witness], known[heads]]) - words.first[owner]
-            length = np.concatenate([np.ones(len(single)), np.zeros(len(witness)), lengths + 1]).astype(np.int32)
+            kind = np.repeat([WINDOW, WITNESS, RUN], [len(single), len(witness), len(heads)])
             spread = np.concatenate([h1[single], h1[witness], words.hashes[known[heads]] ^ known[heads].astype(np.uint64)])
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(spread.view(np.int64)), pa.array(np.concatenate([h2[single], h2[witness], np.zeros(len(heads), np.uint64)]).view(np.int64)),
-                    batch.column("id").take(take), batch.column("r").take(take), pa.array(start.astype(np.int32)), pa.array(length),
-                ],
-                names=["h1", "h2", "id", "r", "pos", "len"],
-            )
+            second = np.concatenate([(h2[single] >> np.uint64(32)).astype(np.int64), (h2[witness] >> np.uint64(32)).astype(np.int64), lengths])
+            r = batch.column("r").to_numpy().astype(np.int64)[owner]
+            columns = [pa.array(spread.view(np.int64)), pa.array(second), batch.column("id").take(pa.array(owner)), pa.array((r << 44) | (kind << 42) | start)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "id", "at"])
 
-    return rows.mapInArrow(emit, "h1 long, h2 long, id long, r int, pos int, len int")
+    return rows.mapInArrow(emit, "h1 long, h2 long, id long, at long")
 
 
 def _kept(rows: DataFrame, span: int) -> DataFrame:
@@ -153,13 +156,17 @@ def _kept(rows: DataFrame, span: int) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """(key, n_words, n_removed, kept) for each row: ``kept`` is the words outside repeats, joined by one space."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.hash(text).alias("r"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.hash(text).bitwiseAND(F.lit(0xFFFF)).alias("r"))
     bitmap = _bitmap(cut(_repeated(rows, span, k)))
-    found = _windows(rows, bitmap, span, k)
-    met = found.withColumn("n", F.count("*").over(Window.partitionBy("h1", "h2")))
-    starts = met.where("len > 1 OR len = 1 AND n > 1").select("id", "r", F.explode(F.expr("sequence(pos, pos + greatest(len - 1, 1) - 1)")).alias("pos"))
-    bits = starts.groupBy("id", "r", F.shiftright("pos", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, pos & 63))").alias("bits"))
-    masks = bits.groupBy(F.col("id").alias("i"), F.col("r").alias("q")).agg(F.collect_list(F.struct("block", "bits")).alias("masks"))
+    found = _windows(rows, bitmap, span, k).withColumn("n", F.count("*").over(Over.partitionBy("h1", "h2")))
+    kind = F.shiftright("at", 42).bitwiseAND(F.lit(3))
+    first, text_hash = F.col("at").bitwiseAND(F.lit((1 << 42) - 1)), F.shiftright("at", 44)
+    runs = found.where((kind == RUN) | (kind == WINDOW) & (F.col("n") > 1))
+    starts = runs.select("id", text_hash.alias("r"), F.explode(F.sequence(first, first + F.when(kind == RUN, F.col("h2") - 1).otherwise(0))).alias("pos"))
+    # a text's block of 64 positions: its hash and the block's number in one long
+    block = F.shiftleft("r", 40).bitwiseOR(F.shiftright("pos", 6))
+    bits = starts.groupBy("id", block.alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(pos & 63 AS INT)))").alias("bits"))
+    masks = bits.groupBy(F.col("id").alias("i"), F.shiftright("block", 40).cast("int").alias("q")).agg(F.collect_list(F.struct(F.col("block").bitwiseAND(F.lit((1 << 40) - 1)).alias("block"), "bits")).alias("masks"))
     marked = rows.join(masks.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("r") == F.col("q")), "left")
     return _kept(marked, span).withColumnRenamed("id", key)
 

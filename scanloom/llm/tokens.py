@@ -19,6 +19,8 @@ _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Words are hashed over so many bytes at a time (and the rest of the last word).
+PIECE = 1 << 18
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _powers: dict[tuple[int, int], np.ndarray] = {}
@@ -110,8 +112,19 @@ def split_words(column: pa.Array, lower: bool) -> Words:
     closes[last] |= inside[:-1][last]
     ends = np.flatnonzero(closes) + 1
     first = np.searchsorted(starts, offsets).astype(np.int64)
-    hashes = mix(_runs(data.astype(np.uint64) + np.uint64(1), _BYTE_BASE, starts, ends)) if len(starts) else np.empty(0, np.uint64)
-    return Words(first, hashes, starts, ends, data)
+    return Words(first, _word_hashes(data, starts, ends), starts, ends, data)
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, taken over pieces of the data so that the prefix sums stay small."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    edges = np.searchsorted(starts, np.arange(0, len(data) + PIECE, PIECE)) if len(starts) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b > a:
+            low, high = starts[a], ends[b - 1]
+            piece = data[low:high].astype(np.uint64) + np.uint64(1)
+            out[a:b] = mix(_runs(piece, _BYTE_BASE, starts[a:b] - low, ends[a:b] - low))
+    return out
 
 
 def grams(words: Words, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
