@@ -38,7 +38,10 @@ PRIOR = 2000.0
 STAY = 0.98
 SPREAD = 1.5
 SLICE_BYTES = 8 << 20
-CHUNK = 500_000
+CHUNK = 250_000
+#: Tokens for one task of a Baum-Welch pass, whose result has a row per class it met, and the least number of such tasks.
+TASK_TOKENS = 4_000_000
+LEAST_TASKS = 12
 _words: dict[str, dict[bytes, int]] = {}
 
 
@@ -209,7 +212,7 @@ def chunks(classes: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield values[take], first, own
 
 
-def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, prior: float) -> Model:
+def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, prior: float, tasks: int) -> Model:
     """Baum-Welch: ``passes`` times expected counts over all training rows, summed by class, then a new model."""
     states, classes = len(model.start), len(unigram)
     spark = encoded.sparkSession
@@ -230,7 +233,7 @@ def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, pr
             kept = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), *(pa.array(rows[kept, k]) for k in range(states))], names=["c", *names])
 
-        counted = encoded.where("NOT held_out").select("classes").mapInArrow(expect, f"c int, {', '.join(f'{n} float' for n in names)}")
+        counted = encoded.where("NOT held_out").select("classes").coalesce(tasks).mapInArrow(expect, f"c int, {', '.join(f'{n} float' for n in names)}")
         table = counted.groupBy("c").agg(*(F.sum(F.col(n).cast("double")).alias(n) for n in names)).toArrow()  # at most one row per class
         rows = np.zeros((classes + states + 1, states))
         rows[table["c"].to_numpy()] = np.column_stack([table[n].to_numpy() for n in names])
@@ -262,7 +265,7 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_siz
     words = spark.sparkContext.broadcast([w for w, _ in head])
     encoded = stored(encode(rows, words, size, str(id(words)) + str(spark.sparkContext.applicationId)), "classes")
     unigram = mass if ends else np.array([0.5, 0.5])
-    model = learn(encoded, first_model(unigram, states), unigram, passes, prior) if ends else first_model(unigram, 1)
+    model = learn(encoded, first_model(unigram, states), unigram, passes, prior, max(LEAST_TASKS, -(-total // TASK_TOKENS))) if ends else first_model(unigram, 1)
     log_mass = np.log10(mass)
     log_mass[size] = 0.0  # added per word below
     sent = spark.sparkContext.broadcast((model, log_mass))
