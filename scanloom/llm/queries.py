@@ -91,4 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hold a tokenizer, a fit, an image or a parser, which SQL cannot express; tests hold them to brute force."""
+    from scanloom.llm import oracles
+
+    return {"op3_substring_dedup": oracles.SUBSTRINGS, "op7_minhash_near_dedup": oracles.NEAR_DUPLICATES, "op10_benchmark_decontamination": oracles.CONTAMINATION}
