@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.operators.spatial import indexed, nearest_join
+from scanloom.functions.selection import nearest_rank
+from scanloom.operators.spatial import CELL, indexed, nearest_join, placed, within
 
 _PAYLOAD = ("nx", "ny", "nz", "boundary")
 
@@ -81,19 +82,26 @@ def uncovered(reference: DataFrame, index: DataFrame, search: float, idx: str =
 
 
 def _semi(reference: DataFrame, index: DataFrame, search: float, how: str) -> DataFrame:
-    from scanloom.operators.spatial import CELL, _within, placed
-
     q, i = placed(reference, search).alias("q"), index.alias("i")
-    _, condition = _within(search, "float", ("x", "y", "z"))
+    _, condition = within(search, "float", ("x", "y", "z"))
     for c in CELL:
         condition = condition & (F.col(f"q.{c}") == F.col(f"i.{c}"))
     return q.join(i, condition, how).drop(*CELL)
 
 
-def deviation_summary(field: DataFrame, keys: Sequence[str] = (), padding: int = 0) -> DataFrame:
+def deviation_report(field: DataFrame, padding: int = 0) -> dict:
+    """``deviation_summary`` of one field of any size, as a dict: the percentile is selected by rank, not gathered."""
+    row = deviation_summary(field, padding=padding, percentile=False).first().asDict()
+    found = nearest_rank(field.where("reason = 'valid'").select(F.abs("signed_mm").alias("a")), "a")
+    names = list(row)
+    row["p95_abs_mm"] = 0.0 if found is None else found
+    return {n: row[n] for n in [*names[:4], "p95_abs_mm", *names[4:]]}
+
+
+def deviation_summary(field: DataFrame, keys: Sequence[str] = (), padding: int = 0, percentile: bool = True) -> DataFrame:
     """Count, mean, RMS, largest and 95th percentile absolute deviation of valid samples, and a count per reason.
 
-    All 0 without valid samples. Slots between grid rows (``padding``) count as input_invalid.
+    The percentile is an aggregate over one group's values: for many scans of moderate size. All 0 without valid samples. Slots between grid rows (``padding``) count as input_invalid.
     """
     good = F.when(F.col("reason") == "valid", F.col("signed_mm"))
     rows = field.withColumns({"__s": good, "__a": F.abs(good)})
@@ -102,7 +110,7 @@ def deviation_summary(field: DataFrame, keys: Sequence[str] = (), padding: int =
     counts = [(F.count_if(F.col("reason") == r) + (padding if r == "input_invalid" else 0)).alias(r) for r in ("input_invalid", "no_neighbor", "normal_missing", "normal_mismatch", "reference_boundary")]
     return rows.groupBy(*keys).agg(
         n.alias("valid_count"), zero(g.stable_sum(F.col("__s")) / n).alias("mean_signed_mm"), zero(F.sqrt(g.stable_sum(F.col("__s") * F.col("__s")) / n)).alias("rms_mm"),
-        zero(F.max("__a")).alias("max_abs_mm"), zero(g.nearest_rank("__a")).alias("p95_abs_mm"), *counts,
+        zero(F.max("__a")).alias("max_abs_mm"), *([zero(g.nearest_rank("__a")).alias("p95_abs_mm")] if percentile else []), *counts,
     )
 
 

@@ -39,7 +39,8 @@ def placed(df: DataFrame, radius: float, point: Sequence[str] = ("x", "y", "z"))
     return df.withColumns({name: g.cell(F.col(c), _edge(radius)) for name, c in zip(CELL, point)})
 
 
-def _within(radius: float, kind: str, point: Sequence[str]) -> tuple[Column, Column]:
+def within(radius: float, kind: str, point: Sequence[str]) -> tuple[Column, Column]:
+    """Squared distance of a joined pair, and whether it is within the radius."""
     d2 = g.squared_distance(tuple(F.col(c) for c in point), tuple(F.col(f"r_{a}") for a in "xyz"), kind)  # type: ignore[arg-type]
     limit = F.lit(radius).cast(kind)
     return d2, d2 <= limit * limit
@@ -51,7 +52,7 @@ def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: S
     Adds r_idx, r_distance and r_<payload>, null where there is none. ``index`` is ``indexed(..., radius, payload, keys)``.
     ``kind`` is the arithmetic of distances and bound: "float" as in comparisons, "double" as in registration.
     """
-    d2, near = _within(radius, kind, point)
+    d2, near = within(radius, kind, point)
     spots = placed(queries, radius, point)
     on = [F.col(f"q.{c}") == F.col(f"i.{c}") for c in (*keys, *CELL)]
     q, i = spots.alias("q"), index.alias("i")
@@ -75,7 +76,7 @@ def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: S
 
 def radius_join(queries: DataFrame, index: DataFrame, radius: float, keys: Sequence[str] = (), kind: str = "double", point: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Inner join: every (query row, indexed row) within ``radius``, inclusive, with d2. Rows stay dealt by (keys, cell)."""
-    d2, near = _within(radius, kind, point)
+    d2, near = within(radius, kind, point)
     q, i = placed(queries, radius, point).alias("q"), index.alias("i")
     condition = near
     for c in (*keys, *CELL):

@@ -129,7 +129,7 @@ class InspectionContext:
                 field = compare.deviation_field(aligned.df, self._index, c.comparison.max_search_distance_mm, c.comparison.max_normal_angle_deg).persist()
                 cover = compare.coverage_field(ref.df, aligned.df, c.comparison.max_search_distance_mm).persist()
                 held += [field, cover]
-                report["deviations"] = compare.deviation_summary(field, padding=aligned.padding).first().asDict()
+                report["deviations"] = compare.deviation_report(field, padding=aligned.padding)
                 report["coverage"] = compare.coverage_summary(cover, padding=ref.padding).first().asDict()
             with timer.stage("coverage_gate"):
                 failed = report["coverage"]["coverage_ratio"] < c.comparison.min_valid_coverage_ratio

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import scenes as S
 from scanloom.functions import geometry as g
 from scanloom.functions import kernels as k
+from scanloom.functions import selection
 from scanloom.model import InspectionError, RegistrationParameters, RigidTransform, frame_id, to_millimeters
 from scanloom.operators import compare, components, detect, preprocess, spatial
 from scanloom.surface import from_points, normalize_surface, validate_surface
@@ -140,6 +141,22 @@ def test_summaries(spark):
     assert (c["valid_count"], c["covered_count"], c["coverage_ratio"]) == (6, 3, 0.5)
 
 
+@pytest.mark.parametrize("small", [1_000_000, 3, 0])
+def test_selection_by_rank(spark, small):
+    rng = np.random.default_rng(12)
+    for values in ([], [2.0], [1.0] * 50, rng.normal(size=400).tolist(), rng.integers(0, 4, 300).astype(float).tolist(), [1.0, 1.0 + 2**-52] * 40, [0.0, 1e300, 5e-324] * 9):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        for share in (0.0, 0.5, 0.95, 1.0):
+            want = sorted(values)[max(math.ceil(share * len(values)), 1) - 1] if values else None
+            assert selection.nearest_rank(df, "v", share, small) == want
+
+
+def test_report_equals_summary(spark):
+    rows = [(float(v), "valid" if v > -1 else "no_neighbor") for v in np.random.default_rng(3).normal(size=200)]
+    field = _field(spark, rows)
+    assert compare.deviation_report(field, 4) == compare.deviation_summary(field, padding=4).first().asDict()
+
+
 def test_stable_sum_ignores_partitioning(spark):
     values = np.random.default_rng(1).normal(size=5000)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
