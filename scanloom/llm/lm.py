@@ -16,7 +16,6 @@ are 0; repeated rows are separate texts; a null id counts as the empty text in t
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import ascii_bucket, stored
-from scanloom.llm.tokens import slices
+from scanloom.llm.tokens import Words, slices, split_words
 
 FOLDS = 10
 ADD = 0.1
@@ -38,29 +37,32 @@ PRIOR = 2000.0
 STAY = 0.98
 SPREAD = 1.5
 SLICE_BYTES = 8 << 20
-CHUNK = 250_000
+#: Tokens advanced together; texts of more than LONG tokens are gathered up to HELD tokens and advance in larger pieces.
+CHUNK, LONG_CHUNK = 250_000, 1_000_000
+LONG, HELD = 2048, 4_000_000
 #: Tokens for one task of a Baum-Welch pass, whose result has a row per class it met, and the least number of such tasks.
 TASK_TOKENS = 4_000_000
 LEAST_TASKS = 12
-_words: dict[str, dict[bytes, int]] = {}
 
 
-def _split(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()  # bytes: white space is 0x20 and 0x09-0x0D, case is A-Z
+def _bytes_of(words: Words, at: np.ndarray) -> pa.Array:
+    """The words at places ``at``, as binary values."""
+    lengths = words.ends[at] - words.starts[at]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    take = np.repeat(words.starts[at] - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(words.data[take])])
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, c) over all training rows; each block of text is counted before the shuffle."""
+    """(word, c) over all training rows; each block of text is counted by word hash before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            found: Counter[bytes] = Counter()
-            for text in batch.column("text"):
-                found.update(_split(text.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "c"])
+            words = split_words(batch.column("text"), lower=True)
+            _, at, counts = np.unique(words.hashes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_bytes_of(words, at), pa.array(counts.astype(np.int64))], names=["word", "c"])
 
-    counted = rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, c long")
-    return counted.groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
@@ -79,42 +81,60 @@ def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     return sorted(zip(table["word"].to_pylist(), table["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
-def _index(head: Broadcast, token: str) -> dict[bytes, int]:
-    """The class of each head word, built once per process."""
-    if token not in _words:
-        _words.clear()
-        _words[token] = {w: i for i, w in enumerate(head.value)}
-    return _words[token]
+class Head:
+    """The head words by hash: places in the sorted hashes, their classes, and the words themselves."""
 
+    def __init__(self, words: list[bytes]) -> None:
+        self.size, self.words = len(words), words
+        joined = pa.array([b" ".join(words).decode()], pa.large_string())
+        hashes = split_words(joined, lower=False).hashes
+        self.classes = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.classes]
 
-def encode(rows: DataFrame, head: Broadcast, size: int, token: str) -> DataFrame:
+    def classify(self, words: Words, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Class of each distinct word, ``size`` for words outside the head; equal hashes are compared as words."""
+        out = np.full(len(places), self.size, dtype=np.int32)
+        if not self.size or not len(places):
+            return out
+        spot = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
+        same = np.flatnonzero(self.hashes[spot] == hashes)
+        classes = self.classes[spot[same]]
+        found = _bytes_of(words, places[same]).to_pylist()
+        good = np.fromiter((self.words[c] == w for c, w in zip(classes.tolist(), found)), dtype=bool, count=len(same))
+        out[same[good]] = classes[good]
+        return out
+
+
+def encode(rows: DataFrame, head: Broadcast) -> DataFrame:
     """(row, id, held_out, classes, rare): classes of all tokens, the end included, and counts of words outside the head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(head, token)
-        row = TaskContext.get().partitionId() << 33
+        row, table = TaskContext.get().partitionId() << 33, head.value
+        rare_type = pa.struct([("word", pa.binary()), ("n", pa.int32())])
         for batch in slices(batches, "text", SLICE_BYTES):
-            lists, rare = [], []
-            for text in batch.column("text"):
-                words = _split(text.as_py())
-                classes = np.fromiter((index.get(w, size) for w in words), dtype=np.int32, count=len(words))
-                rare.append([{"word": w, "n": n} for w, n in Counter(words[i] for i in np.flatnonzero(classes == size).tolist()).items()])
-                lists.append(classes)
-            lengths = np.array([len(x) + 1 for x in lists])
-            flat = np.full(int(lengths.sum()), size + 1, dtype=np.int32)
-            ends = np.cumsum(lengths)
+            texts = batch.num_rows
+            words = split_words(batch.column("text"), lower=True)
+            hashes, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+            classes = table.classify(words, at, hashes)
+            counts = words.counts
+            ends = np.cumsum(counts + 1)
+            flat = np.full(int(ends[-1]), table.size + 1, dtype=np.int32)
             inside = np.ones(len(flat), dtype=bool)
             inside[ends - 1] = False
-            flat[inside] = np.concatenate(lists)
+            flat[inside] = classes[which]
+            outside = np.flatnonzero(classes[which] == table.size)
+            owner = np.repeat(np.arange(texts), counts)[outside]
+            pair, n = np.unique(owner * len(at) + which[outside], return_counts=True)
+            bounds = np.searchsorted(pair, np.arange(texts + 1) * len(at)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([_bytes_of(words, at[pair % max(1, len(at))]), pa.array(n.astype(np.int32))], fields=list(rare_type))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + len(lists))), batch.column("id"), batch.column("held_out"),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)),
-                    pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))),
+                    pa.array(np.arange(row, row + texts)), batch.column("id"), batch.column("held_out"),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)), pa.ListArray.from_arrays(pa.array(bounds), rare),
                 ],
                 names=["row", "id", "held_out", "classes", "rare"],
             )
-            row += len(lists)
+            row += texts
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, classes array<int>, rare array<struct<word: binary, n: int>>")
@@ -199,13 +219,34 @@ def expected_counts(p: Packed, model: Model, emissions: np.ndarray) -> tuple[np.
     return gamma[: active[0]].sum(axis=0), pairs * model.step
 
 
-def chunks(classes: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a batch of about ``CHUNK`` tokens with texts of like length: tokens, offsets, and the texts' places."""
+def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Rows with their piece size: short texts batch by batch, long ones gathered so that many advance together."""
+    held: list[pa.RecordBatch] = []
+    tokens = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = np.diff(batch.column(batch.schema.get_field_index(column)).offsets.to_numpy())
+        long = sizes > LONG
+        if not long.all():
+            yield batch.filter(pa.array(~long)), CHUNK
+        if long.any():
+            held.append(batch.filter(pa.array(long)))
+            tokens += int(sizes[long].sum())
+        if tokens > HELD:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], LONG_CHUNK
+            held, tokens = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], LONG_CHUNK
+
+
+def chunks(classes: pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of a batch of about ``size`` tokens with texts of like length: tokens, offsets, and the texts' places."""
     offsets = classes.offsets.to_numpy().astype(np.int64)
     values = classes.values.to_numpy()
     sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
-    piece = (np.cumsum(sizes[order]) - sizes[order]) // CHUNK
+    piece = (np.cumsum(sizes[order]) - sizes[order]) // size
     for own in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
         first = np.concatenate([[0], np.cumsum(sizes[own])])
         take = np.repeat(offsets[own] - first[:-1], sizes[own]) + np.arange(first[-1])
@@ -223,12 +264,11 @@ def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, pr
         def expect(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
             emissions = np.zeros((classes, states))
             more = np.zeros((states + 1, states))
-            for batch in batches:
-                if batch.num_rows:
-                    for tokens, first, _ in chunks(batch.column(0)):
-                        opened, pairs = expected_counts(Packed(tokens, first), sent.value, emissions)
-                        more[0] += opened
-                        more[1:] += pairs
+            for batch, size in by_length(batches, "classes"):
+                for tokens, first, _ in chunks(batch.column(0), size):
+                    opened, pairs = expected_counts(Packed(tokens, first), sent.value, emissions)
+                    more[0] += opened
+                    more[1:] += pairs
             rows = np.vstack([emissions, more]).astype(np.float32)
             kept = np.flatnonzero(rows.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), *(pa.array(rows[kept, k]) for k in range(states))], names=["c", *names])
@@ -248,7 +288,7 @@ def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, pr
 def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_size: int = HEAD, states: int = STATES, passes: int = PASSES, prior: float = PRIOR) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).cast("binary").alias("text"))
+    rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).alias("text"))
     training = rows.where("NOT held_out")
     counts = stored(count_words(training), "counts")
     ends = training.count()
@@ -262,8 +302,8 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_siz
     mass = np.concatenate([known + ADD, [rest + ADD * (sums["v"] - size + 1), ends + ADD * (1 if ends else 0)]]) / whole
     if not ends:  # the end is then one of the unseen words, and they are all there is
         mass = np.array([1.0, 1.0])
-    words = spark.sparkContext.broadcast([w for w, _ in head])
-    encoded = stored(encode(rows, words, size, str(id(words)) + str(spark.sparkContext.applicationId)), "classes")
+    words = spark.sparkContext.broadcast(Head([w for w, _ in head]))
+    encoded = stored(encode(rows, words), "classes")
     unigram = mass if ends else np.array([0.5, 0.5])
     model = learn(encoded, first_model(unigram, states), unigram, passes, prior, max(LEAST_TASKS, -(-total // TASK_TOKENS))) if ends else first_model(unigram, 1)
     log_mass = np.log10(mass)
@@ -272,12 +312,10 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_siz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, logs = sent.value
-        for batch in batches:
+        for batch, size in by_length(batches, "classes"):
             n = batch.num_rows
-            if not n:
-                continue
             likely, base, sizes = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-            for tokens, first, own in chunks(batch.column("classes")):
+            for tokens, first, own in chunks(batch.column("classes"), size):
                 likely[own] = log10_likelihood(Packed(tokens, first), model) if ends else 0.0
                 base[own] = np.add.reduceat(logs[tokens], first[:-1])
                 sizes[own] = np.diff(first)
