@@ -36,9 +36,9 @@ from scanloom.operators.components import sized_components
 
 BANDS = 50
 ROWS = 7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Blocks of large groups hold sets of about so many shingles (8 bytes each).
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 100_000
 #: Ids are broadcast to the text scan up to so many rows of 8 bytes; beyond that the join shuffles.
 BROADCAST_IDS = 1_000_000
 _NULL_BASE = 1 << 62
@@ -213,7 +213,7 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shape = shape.withColumns({"blocks": blocks("total"), "others": blocks("rest")})
     known = rows.join(shape, F.col("grp") == F.col("of")).withColumn("minor", F.col("component") != F.col("major"))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    bins = max(1, -(-total // BLOCK_SHINGLES))
+    bins = max(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_SHINGLES))
     place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     small = (F.col("blocks") == 1) & (F.col("others") == 1)
     shared = known.where(small).withColumns({"key": F.lit(-1).cast("long"), "i": F.pmod(F.xxhash64("grp"), F.lit(bins)).cast("int"), "j": F.lit(0)})
