@@ -71,12 +71,12 @@ def coverage_field(reference: DataFrame, scan: DataFrame, search: float, keys: S
     return found.unionByName(skipped)
 
 
-def covered(reference: DataFrame, index: DataFrame, search: float, idx: str = "idx") -> DataFrame:
+def covered(reference: DataFrame, index: DataFrame, search: float) -> DataFrame:
     """The reference rows with a scan point within reach, as a left-semi join on cells."""
     return _semi(reference, index, search, "left_semi")
 
 
-def uncovered(reference: DataFrame, index: DataFrame, search: float, idx: str = "idx") -> DataFrame:
+def uncovered(reference: DataFrame, index: DataFrame, search: float) -> DataFrame:
     """The reference rows without one, as a left-anti join on cells."""
     return _semi(reference, index, search, "left_anti")
 

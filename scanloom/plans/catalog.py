@@ -38,7 +38,7 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-def _surface(df: DataFrame, unit: str = "millimeter", frame: str = "fixture", grid: bool = True) -> Surface:
+def _surface(df: DataFrame, unit: str = "millimeter", frame: str = "fixture") -> Surface:
     return Surface(df, unit, frame, True, True)
 
 
@@ -147,14 +147,14 @@ def voxel_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------- joins
 
 
-def _nearest(spark: SparkSession, queries: DataFrame, points: DataFrame, radius: float, kind: str = "float") -> DataFrame:
+def _nearest(queries: DataFrame, points: DataFrame, radius: float, kind: str = "float") -> DataFrame:
     index = spatial.indexed(points.where("valid"), radius)
     return spatial.nearest_join(queries.where("valid"), index, radius, kind=kind)
 
 
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH)) + f"SELECT s.idx, n.r_idx, {q_sql('CAST(sqrt(CAST(n.d2 AS DOUBLE)) AS FLOAT)')} AS distance_um FROM scan s LEFT JOIN near n USING (idx) WHERE s.valid")
 def nearest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _nearest(spark, d.scan(spark, sf_dir), d.reference(spark, sf_dir), d.SEARCH)
+    out = _nearest(d.scan(spark, sf_dir), d.reference(spark, sf_dir), d.SEARCH)
     return out.select("idx", "r_idx", q(F.col("r_distance")).alias("distance_um"))
 
 
@@ -165,7 +165,7 @@ _SHIFTED_SQL = "centres AS (SELECT idx, CAST(x + 0.25 AS FLOAT) AS x, CAST(y + 0
 def nearest_tie_break(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = d.reference(spark, sf_dir)
     centres = ref.withColumns({"x": (F.col("x") + 0.25).cast("float"), "y": (F.col("y") + 0.25).cast("float")})
-    return _nearest(spark, centres, ref, 0.5, "double").select("idx", "r_idx")
+    return _nearest(centres, ref, 0.5, "double").select("idx", "r_idx")
 
 
 _RAISED_SQL = "raised AS (SELECT idx, x, y, CAST(CASE WHEN idx % 2 = 0 THEN 0.5 ELSE 0.53125 END AS FLOAT) AS z, valid FROM reference)"
@@ -175,7 +175,7 @@ _RAISED_SQL = "raised AS (SELECT idx, x, y, CAST(CASE WHEN idx % 2 = 0 THEN 0.5
 def nearest_inclusive_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = d.reference(spark, sf_dir)
     raised = ref.withColumn("z", F.when(F.col("idx") % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.53125)).cast("float"))
-    return _nearest(spark, raised, ref, 0.5).select("idx", "r_idx")
+    return _nearest(raised, ref, 0.5).select("idx", "r_idx")
 
 
 _D2 = "(CAST(a.x AS DOUBLE) - b.x) * (CAST(a.x AS DOUBLE) - b.x) + (CAST(a.y AS DOUBLE) - b.y) * (CAST(a.y AS DOUBLE) - b.y) + (CAST(a.z AS DOUBLE) - b.z) * (CAST(a.z AS DOUBLE) - b.z)"
