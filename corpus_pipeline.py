@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. ``run`` writes
 each result as Parquet in the shared folder and reads it back as the next stage's input. The last stage adds the
-training order (slot, offset) to every document. Rows with the same id count as one document in near-dedup; the other stages
-judge each row by its own text.
+training order (slot, offset) to every document. Rows with the same id count as one document in near-dedup, and rows without
+an id always stay there; the other stages judge each row by its own text.
 """
 
 from __future__ import annotations

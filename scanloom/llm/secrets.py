@@ -162,13 +162,16 @@ MASK = "[REDACTED]"
 
 
 def redact(text: str | None) -> str | None:
-    """The text with every secret span (overlapping ones as one) replaced by a mask; null stays null."""
+    """The text with every secret (overlapping ones as one) replaced by a mask; null stays null.
+
+    Of an assignment only the value is masked.
+    """
     spans = find_spans(text)
     if not spans:
         return text
     out, at = [], 0
     merged: list[list[int]] = []
-    for _, a, b in spans:
+    for a, b in sorted((_ASSIGN.match(text, a).start(1) if k == "assign" else a, b) for k, a, b in spans):
         if merged and a < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
