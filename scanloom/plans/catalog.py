@@ -6,14 +6,14 @@ differ between engines in the last digits of a double are given in millionths.
 
 from __future__ import annotations
 
-
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
-from scanloom.model import RegistrationParameters, RigidTransform
+from scanloom.model import InspectionError, RegistrationParameters, RigidTransform, parse_config, validate_config
 from scanloom.operators import compare, detect, preprocess, spatial
 from scanloom.operators.registration import RegistrationContext, gate_failure
 from scanloom.plans import derived as d
@@ -468,6 +468,78 @@ def region_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("id", F.to_json(F.struct("id", F.col("class").alias("type"), "point_count", "centroid", "aabb_min", "aabb_max", "max_abs_mm", "mean_mm", "rms_mm", "p95_abs_mm", "estimated_area_mm2", "area_is_approximate", "severity")).alias("region_json"))
 
 
+_FILE_SQL = _with(d.SCAN_SQL) + f"SELECT idx, row_idx, col_idx, {', '.join(f'{q_sql(c)} AS {c}_um' for c in 'xyz')}, CAST(nz AS INTEGER) AS nz, valid FROM scan WHERE idx < 1500"
+
+
+def _through_file(kind: str, encoding: str) -> Query:
+    """Write the first 15 rows of the scan's lattice as a point file and read it back through the data source."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from scanloom import storage
+        from scanloom.sources import point_files
+
+        rows = 1500 // d.WIDTH
+        surface = Surface(d.scan(spark, sf_dir).where("idx < 1500"), "millimeter", "scanner", True, True, d.WIDTH, rows, d.WIDTH)
+        path = f"{storage.scratch(spark, 'files')}/scan.{kind}"
+        write, read = (point_files.write_ply, point_files.read_ply) if kind == "ply" else (point_files.write_pcd, point_files.read_pcd)
+        write(surface, path, encoding)
+        back = read(spark, path, "millimeter", "scanner", rows=400)
+        return back.df.select("idx", "row_idx", "col_idx", *(q(F.col(c)).alias(f"{c}_um") for c in "xyz"), F.col("nz").cast("int").alias("nz"), "valid")
+
+    return run
+
+
+for _kind, _encoding in (("ply", "binary"), ("ply", "ascii"), ("pcd", "binary"), ("pcd", "ascii")):
+    _QUERIES[f"{_kind}_{_encoding}_scan"] = _through_file(_kind, _encoding)
+    _SQL[f"{_kind}_{_encoding}_scan"] = _FILE_SQL
+
+
+CONFIG = {
+    "schema_version": "1.0", "profile": "catalog",
+    "input": {"reference_unit": "millimeter", "scan_unit": "millimeter", "reference_frame": "fixture", "scan_frame": "scanner"},
+    "preprocess": {"voxel_size_mm": 0.5, "normal_radius_mm": 1.0, "normal_min_neighbors": 5, "boundary_radius_mm": 0.8},
+    "registration": {"method": "point_to_plane", "max_iterations": 30, "max_correspondence_distance_mm": 0.8, "huber_delta_mm": 0.1, "translation_epsilon_mm": 1e-4, "rotation_epsilon_rad": 1e-5, "residual_epsilon_mm": 1e-6},
+    "registration_gate": {"min_overlap_ratio": 0.5, "max_inlier_rmse_mm": 0.5, "min_valid_pairs": 100, "max_translation_from_initial_mm": 5.0, "max_rotation_from_initial_deg": 5.0},
+    "comparison": {"max_search_distance_mm": 0.8, "max_normal_angle_deg": 35.0, "boundary_exclusion_mm": 0.6, "min_valid_coverage_ratio": 0.5},
+    "detection": {"positive_threshold_mm": 0.25, "negative_threshold_mm": -0.25, "cluster_tolerance_mm": 0.6, "min_cluster_points": 5, "measurement_error_budget_mm": 0.0},
+    "execution": {"backend": "auto", "deterministic": True, "thread_count": 1, "random_seed": 1},
+}
+
+
+@_register()
+def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One whole inspection: the lattice with a raised square against the flat lattice."""
+    from scanloom.plans.pipeline import InspectionPipeline
+
+    base = d.reference(spark, sf_dir).where("idx < 1500").withColumns({"valid": F.lit(True), "nz": F.lit(1.0).cast("float")})
+    square = F.col("col_idx").between(40, 46) & F.col("row_idx").between(4, 9)
+    raised = base.withColumn("z", F.when(square, F.lit(0.6)).otherwise(F.lit(0.0)).cast("float"))
+    config = parse_config(json.dumps(CONFIG))
+    grid = (d.WIDTH, 1500 // d.WIDTH, d.WIDTH)
+    report = InspectionPipeline(config).run(Surface(base, "millimeter", "fixture", True, True, *grid), Surface(raised, "millimeter", "scanner", True, True, *grid))
+    rows = [(report["verdict"], r["id"], r["type"], r["point_count"], r["severity"]) for r in report["regions"]] or [(report["verdict"], None, None, None, None)]
+    return spark.createDataFrame(rows, "verdict string, id int, type string, point_count long, severity string")
+
+
+_CHANGES = (("none", "", "", None), ("preprocess", "voxel_size_mm", "preprocess.voxel_size_mm", 0.0), ("comparison", "max_normal_angle_deg", "comparison.max_normal_angle_deg", 91.0), ("detection", "measurement_error_budget_mm", "detection.positive_threshold_mm", 0.25), ("execution", "thread_count", "execution.thread_count", 0))
+
+
+@_register("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{found}')" for i, (_, _, found, _) in enumerate(_CHANGES)) + ") v(i, problem)")
+def config_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first problem of each of some configurations; empty for a good one."""
+    rows = []
+    for i, (section, name, _, value) in enumerate(_CHANGES):
+        document = json.loads(json.dumps(CONFIG))
+        if name:
+            document[section][name] = value
+        try:
+            validate_config(parse_config(json.dumps(document)))
+            rows.append((i, ""))
+        except InspectionError as error:
+            rows.append((i, error.context["field"]))
+    return spark.createDataFrame(rows, "i int, problem string")
+
+
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan points with the frame they came in: 25 columns of the lattice each."""
     return d.scan(spark, sf_dir).withColumn("scan_id", F.floor(F.col("col_idx") / 25).cast("int"))
