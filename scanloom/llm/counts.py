@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanloom.llm.common import cut
 from scanloom.llm.tokens import slices
 
 ENCODE_BYTES = 1 << 20
@@ -92,6 +93,7 @@ def token_counts(df: DataFrame, tokenizer_name: str, cache_path: str, key: str =
     texts = rows.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("content") == F.col("c")), "left_semi")
     fresh = encode_counts(texts, tokenizer_name).dropDuplicates(["content"])
     fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    counts = open_cache(spark, cache_path).where(F.col("tokenizer") == version).dropDuplicates(["content"])
+    # cut, so that the last join has plain sides and a hot text's rows can be split over tasks
+    counts = cut(open_cache(spark, cache_path).where(F.col("tokenizer") == version).dropDuplicates(["content"]))
     sized = rows.select("key", "content", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(counts.select("content", "n_tokens"), "content", "left").select(F.col("key").alias(key), "n_bytes", "n_tokens")
