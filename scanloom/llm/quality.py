@@ -33,7 +33,7 @@ THRESHOLD = 0.3
 STEPS = 150
 RATE = 0.05
 PENALTY = 1e-3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: The sample's features are computed for so many texts at a time.
 FIT_TEXTS = 100
 
