@@ -36,10 +36,10 @@ PASSES = 3
 PRIOR = 2000.0
 STAY = 0.98
 SPREAD = 1.5
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Tokens advanced together; texts of more than LONG tokens are gathered up to HELD tokens and advance in larger pieces.
-CHUNK, LONG_CHUNK = 250_000, 1_000_000
-LONG, HELD = 2048, 4_000_000
+CHUNK, LONG_CHUNK = 250_000, 400_000
+LONG, HELD = 2048, 2_000_000
 #: Tokens for one task of a Baum-Welch pass, whose result has a row per class it met, and the least number of such tasks.
 TASK_TOKENS = 4_000_000
 LEAST_TASKS = 12
