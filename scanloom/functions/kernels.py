@@ -139,11 +139,16 @@ class CellIndex:
 
     def nearest(self, q: np.ndarray) -> np.ndarray:
         """Place of the nearest point within the radius, inclusive, least place on ties; -1 if there is none."""
-        best = np.full(len(q), np.inf)
+        return self.search(q)[0]
+
+    def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` and the squared distances, in the arithmetic of the points' type."""
+        kind = self.points.dtype.type
+        best = np.full(len(q), np.inf, dtype=kind)
         place = np.full(len(q), -1, dtype=np.int64)
         home = np.floor(q / self.edge).astype(np.int64)
         open_ = np.arange(len(q))
-        limit = self.radius * self.radius
+        limit = kind(self.radius) * kind(self.radius)
         rings = int(np.ceil(self.radius / self.edge))
         for ring in range(rings + 1):
             if not len(open_):
@@ -164,5 +169,5 @@ class CellIndex:
                             best[i[better]], place[i[better]] = d2[better], j[better]
             # what lies beyond this ring is farther than the distance to the ring's outer face
             face = np.minimum(q[open_] - (home[open_] - ring) * self.edge, (home[open_] + ring + 1) * self.edge - q[open_]).min(axis=1)
-            open_ = open_[~(best[open_] < np.maximum(face, 0.0) ** 2)]
-        return place
+            open_ = open_[~(best[open_] < np.maximum(face, 0.0) ** 2 * (1.0 - 1e-6))]
+        return place, best

@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
 from scanloom.functions.selection import nearest_rank
-from scanloom.operators.spatial import CELL, indexed, nearest_join, placed, within
+from scanloom.operators.spatial import CELL, KernelIndex, index_for, indexed, nearest, placed, within
 
 _PAYLOAD = ("nx", "ny", "nz", "boundary")
 
 
 def deviation_index(reference: DataFrame, search: float, keys: Sequence[str] = ()) -> DataFrame:
-    """The reference side of ``deviation_field``; cache it to compare many scans."""
+    """The reference side of ``deviation_field`` as a table; cache it to compare many scans."""
     return indexed(reference.where("valid"), search, _PAYLOAD, keys)
 
 
+def sized_deviation_index(reference: DataFrame, search: float) -> KernelIndex | DataFrame:
+    """The same by size: held by the workers while it is small."""
+    return index_for(reference.where("valid"), search, _PAYLOAD)
+
+
 def signed_distance() -> Column:
     """Offset from the matched point along its normal; the difference is taken in float32, the product in double."""
     n, d = g.vector("r_n"), g.minus(g.vector(), g.vector("r_"))
@@ -41,14 +46,14 @@ def deviation_reason(max_angle: float) -> Column:
     )
 
 
-def deviation_field(scan: DataFrame, index: DataFrame, search: float, max_angle: float, keys: Sequence[str] = ()) -> DataFrame:
+def deviation_field(scan: DataFrame, index: KernelIndex | DataFrame, search: float, max_angle: float, keys: Sequence[str] = ()) -> DataFrame:
     """The scan's rows with euclidean_mm, signed_mm, normal_angle_deg and reason. Values are 0 where they do not apply.
 
     Invalid rows do not enter the search: they have no cell and join as rows without a partner.
     """
     own = [c for c in scan.columns]
     searched = scan.where("valid")
-    matched = nearest_join(searched, index, search, [c for c in _PAYLOAD], keys)
+    matched = nearest(searched, index, search, _PAYLOAD, keys)
     found = matched.withColumn("reason", deviation_reason(max_angle))
     measured = F.col("r_idx").isNotNull() & (g.length(g.vector("r_n")) > 0)
     zero = F.lit(0.0)
@@ -60,17 +65,25 @@ def deviation_field(scan: DataFrame, index: DataFrame, search: float, max_angle:
     return found.unionByName(skipped)
 
 
-def coverage_field(reference: DataFrame, scan: DataFrame, search: float, keys: Sequence[str] = ()) -> DataFrame:
-    """The reference's rows with distance_mm and reason: invalid input, no neighbour, scan boundary, or covered."""
+def coverage_field(reference: DataFrame, scan: DataFrame, search: float, keys: Sequence[str] = (), index: KernelIndex | DataFrame | None = None) -> DataFrame:
+    """The reference's rows with distance_mm and reason: invalid input, no neighbour, scan boundary, or covered.
+
+    ``index`` is the scan's side when it is at hand, else it is made as a table.
+    """
     own = [c for c in reference.columns]
-    index = indexed(scan.where("valid"), search, ("boundary",), keys)
-    matched = nearest_join(reference.where("valid"), index, search, ("boundary",), keys)
+    index = indexed(scan.where("valid"), search, ("boundary",), keys) if index is None else index
+    matched = nearest(reference.where("valid"), index, search, ("boundary",), keys)
     reason = F.when(F.col("r_idx").isNull(), "no_neighbor").when(F.coalesce("r_boundary", F.lit(False)), "scan_boundary").otherwise("covered")
     found = matched.select(*own, F.coalesce("r_distance", F.lit(0.0)).alias("distance_mm"), reason.alias("reason"))
     skipped = reference.where("NOT valid").select(*own, F.lit(0.0).alias("distance_mm"), F.lit("input_invalid").alias("reason"))
     return found.unionByName(skipped)
 
 
+def sized_coverage_index(scan: DataFrame, search: float) -> KernelIndex | DataFrame:
+    """The scan's side of ``coverage_field`` by size."""
+    return index_for(scan.where("valid"), search, ("boundary",))
+
+
 def covered(reference: DataFrame, index: DataFrame, search: float) -> DataFrame:
     """The reference rows with a scan point within reach, as a left-semi join on cells."""
     return _semi(reference, index, search, "left_semi")

@@ -7,16 +7,22 @@ meet it there, each exactly once, and what follows the join can be grouped by (c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from scanloom.functions import geometry as g
+from scanloom.functions.kernels import CellIndex
 from scanloom.storage import cut
 
 CELL = ("__cx", "__cy", "__cz")
 _SLACK = 1.0 + 1e-6
+#: Points a kernel index holds at most: about 100 MB with normals.
+KERNEL_POINTS = 2_000_000
 
 
 def _edge(radius: float) -> float:
@@ -74,6 +80,55 @@ def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: S
     )
 
 
+class KernelIndex:
+    """A cloud of bounded size held by every worker: nearest neighbours without a shuffle."""
+
+    def __init__(self, points: DataFrame, radius: float, payload: Sequence[str], kind: str, point: Sequence[str] = ("x", "y", "z"), idx: str = "idx") -> None:
+        chosen = points.select(F.col(idx).alias("r_idx"), *(F.col(c).alias(f"r_{a}") for c, a in zip(point, "xyz")), *(F.col(c).alias(f"r_{c}") for c in payload))
+        self.schema, self.radius, self.kind = chosen.schema, radius, kind
+        table = chosen.toArrow().sort_by("r_idx").combine_chunks()
+        places = np.column_stack([table[f"r_{a}"].to_numpy() for a in "xyz"]).astype(np.float32 if kind == "float" else float).reshape(-1, 3)
+        self.sent = points.sparkSession.sparkContext.broadcast((CellIndex(places, radius) if len(places) else None, table))
+
+    def close(self) -> None:
+        self.sent.destroy()
+
+
+def index_for(points: DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), kind: str = "float", limit: int = KERNEL_POINTS) -> KernelIndex | DataFrame:
+    """A kernel index while there are at most ``limit`` points and no keys; the cell-keyed table beyond."""
+    if not keys and points.limit(limit + 1).count() <= limit:
+        return KernelIndex(points, radius, payload, kind)
+    return indexed(points, radius, payload, keys)
+
+
+def nearest(queries: DataFrame, index: KernelIndex | DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), kind: str = "float") -> DataFrame:
+    """``nearest_join`` by either kind of index; the results are the same."""
+    if not isinstance(index, KernelIndex):
+        return nearest_join(queries, index, radius, payload, keys, kind)
+    assert (index.radius, index.kind) == (radius, kind)
+    sent, at = index.sent, [queries.columns.index(c) for c in "xyz"]
+    added = [f for f in index.schema if f.name != "r_idx"]
+    schema = StructType([*queries.schema, StructField("r_idx", LongType()), StructField("r_distance", DoubleType()), *(StructField(f.name, f.dataType) for f in added)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, table = sent.value
+        names = [f.name for f in schema]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if cells is None:
+                place, d2 = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
+            else:
+                q = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at]).astype(cells.points.dtype)
+                place, d2 = cells.search(q)
+            take = pa.array(place, mask=place < 0)
+            distance = np.sqrt(np.where(place < 0, 0, d2).astype(float)).astype(np.float32 if kind == "float" else float).astype(float)
+            found = [pa.array(distance, mask=place < 0), *(table[f.name].combine_chunks().take(take) for f in added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, table["r_idx"].combine_chunks().take(take), *found], names=names)
+
+    return queries.mapInArrow(run, schema)
+
+
 def radius_join(queries: DataFrame, index: DataFrame, radius: float, keys: Sequence[str] = (), kind: str = "double", point: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Inner join: every (query row, indexed row) within ``radius``, inclusive, with d2. Rows stay dealt by (keys, cell)."""
     d2, near = within(radius, kind, point)

@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from dataclasses import asdict
 from typing import Any
 
+from pyspark.sql import DataFrame
+
 import scanloom
 from scanloom.model import InspectionConfig, InspectionError, RegistrationParameters, RigidTransform, validate_config
 from scanloom.operators import compare, detect
@@ -65,6 +67,13 @@ class InspectionPipeline:
         return InspectionContext(self.config, self._prepare(reference))
 
 
+def _released(index) -> None:  # noqa: ANN001
+    if isinstance(index, DataFrame):
+        index.unpersist()
+    else:
+        index.close()
+
+
 def _held(surface: Surface) -> Surface:
     surface.df.persist()
     return surface
@@ -77,12 +86,14 @@ class InspectionContext:
         self.config, self.reference = config, reference
         select_backend(config.execution.backend)
         self._registration: RegistrationContext | None = None
-        self._index = compare.deviation_index(reference.surface.df, config.comparison.max_search_distance_mm).persist()
+        self._index = compare.sized_deviation_index(reference.surface.df, config.comparison.max_search_distance_mm)
+        if isinstance(self._index, DataFrame):
+            self._index.persist()
 
     def close(self) -> None:
         if self._registration is not None:
             self._registration.close()
-        self._index.unpersist()
+        _released(self._index)
         self.reference.surface.df.unpersist()
 
     def run(self, scan: Surface, initial_pose: RigidTransform | None = None, run_id: str = "") -> dict:
@@ -100,7 +111,7 @@ class InspectionContext:
         }
         with timer.stage("normalize"):
             scan_mm = normalize_surface(scan, scan.frame)
-        held = []
+        held, indices = [], []
         try:
             with timer.stage("preprocess"):
                 p = c.preprocess
@@ -127,7 +138,8 @@ class InspectionContext:
                 aligned = normalize_surface(prepared, ref.frame, metrics.final_transform)
             with timer.stage("compare"):
                 field = compare.deviation_field(aligned.df, self._index, c.comparison.max_search_distance_mm, c.comparison.max_normal_angle_deg).persist()
-                cover = compare.coverage_field(ref.df, aligned.df, c.comparison.max_search_distance_mm).persist()
+                indices.append(compare.sized_coverage_index(aligned.df, c.comparison.max_search_distance_mm))
+                cover = compare.coverage_field(ref.df, aligned.df, c.comparison.max_search_distance_mm, index=indices[0]).persist()
                 held += [field, cover]
                 report["deviations"] = compare.deviation_report(field, padding=aligned.padding)
                 report["coverage"] = compare.coverage_summary(cover, padding=ref.padding).first().asDict()
@@ -146,6 +158,8 @@ class InspectionContext:
         finally:
             for df in held:
                 df.unpersist()
+            for index in indices:
+                _released(index)
 
     def _regions(self, field, cover) -> list[dict]:  # noqa: ANN001
         d = self.config.detection

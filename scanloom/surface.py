@@ -14,6 +14,8 @@ from scanloom.functions import geometry as g
 from scanloom.model import FLOAT_MAX, MM_PER_UNIT, InspectionError, RigidTransform, frame_id
 
 SCHEMA = "idx long, row_idx int, col_idx int, x float, y float, z float, nx float, ny float, nz float, valid boolean"
+#: Larger arrays are dealt to the executors at once.
+LOCAL_ROWS = 10_000
 COLUMNS = ("idx", "row_idx", "col_idx", "x", "y", "z", "nx", "ny", "nz", "valid")
 
 
@@ -85,7 +87,10 @@ def from_points(
         **{c: pa.array(n[idx, i], pa.float32()) if len(n) else pa.nulls(len(idx), pa.float32()) for i, c in enumerate(("nx", "ny", "nz"))},
         "valid": pa.array(mask[idx] == 1 if len(mask) else np.ones(len(idx), dtype=bool)),
     })
-    surface = Surface(spark.createDataFrame(table, schema=SCHEMA), unit, frame_id(frame), bool(len(n)), bool(len(mask)), *(grid or (None, None, None)))
+    df = spark.createDataFrame(table, schema=SCHEMA)
+    if len(idx) > LOCAL_ROWS:  # else the optimizer would evaluate projections of these rows on the driver
+        df = df.repartition(spark.sparkContext.defaultParallelism, "idx")
+    surface = Surface(df, unit, frame_id(frame), bool(len(n)), bool(len(mask)), *(grid or (None, None, None)))
     return validate_surface(surface) if check else surface
 
 

@@ -107,6 +107,23 @@ def test_joins_match_brute_force(spark):
     assert index.nearest(q32).tolist() == [-1 if want[i] is None else want[i] for i in range(len(q))]
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_both_kinds_of_index_agree(spark, kind):
+    rng = np.random.default_rng(17)
+    p = np.vstack([rng.uniform(0, 4, (300, 3)), rng.integers(0, 8, (200, 3)) * 0.5])
+    q = np.vstack([rng.uniform(-1, 5, (200, 3)), rng.integers(0, 8, (200, 3)) * 0.5 + 0.25, [[50, 50, 50]]])
+    a, b = from_points(spark, p).df.withColumn("boundary", F.col("idx") % 3 == 0), from_points(spark, q).df
+    found = []
+    for limit in (1000, 0):
+        index = spatial.index_for(a, 0.45, ("nz", "boundary"), kind=kind, limit=limit)
+        assert isinstance(index, spatial.KernelIndex) == bool(limit)
+        df = spatial.nearest(b, index, 0.45, ("nz", "boundary"), kind=kind)
+        found.append(sorted(map(tuple, df.select("idx", "x", "r_idx", "r_distance", "r_x", "r_y", "r_z", "r_nz", "r_boundary").collect())))
+    assert found[0] == found[1] and any(r[2] is None for r in found[0])
+    nothing = spatial.nearest(b, spatial.index_for(a.limit(0), 0.45, kind=kind), 0.45, kind=kind)
+    assert nothing.where("r_idx IS NULL").count() == len(q)
+
+
 def test_normals_orientation_and_boundary(spark):
     plane = [(i, j, 0) for i in range(5) for j in range(5)]
     s = from_points(spark, plane)
