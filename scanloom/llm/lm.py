@@ -4,10 +4,11 @@ Latent states emit words. Baum-Welch: each pass over the training texts computes
 transitions and emissions by forward-backward; the counts are summed over all partitions and make the next model.
 The scaled forward recursion then gives each text's exact log-probability.
 
-Words are counted exactly over the whole training corpus. The ``HEAD`` most frequent ones are the model's classes, with
-one class each for the end of a text and for all other words; within the last a word keeps its share of the smoothed
-unigram model. So the model is a distribution over the same V + 1 words as the base, its size is bounded,
-and what depends on a rare word's count is a join of (row, word) with the counts, not a broadcast vocabulary.
+Words are counted exactly over the whole training corpus, and each training word has emissions of its own. Those of the ``HEAD``
+most frequent words, of the end of a text and of any unseen word are broadcast with the model; all others stay in distributed
+tables: rows are kept in blocks of text, a pass joins each block with the emissions of its rare words, and expected counts go
+back by word. So the model is a distribution over the same V + 1 words as the base, grows with the vocabulary,
+and ``HEAD`` only says where a word's emissions are held.
 
 Defined results: null text counts as empty and scores its end token alone; without training texts N, V and c are 0 and both scores
 are 0; repeated rows are separate texts; a null id counts as the empty text in the fold rule; an empty table gives an empty result.
@@ -15,17 +16,16 @@ are 0; repeated rows are separate texts; a null id counts as the empty text in t
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.common import ascii_bucket, stored
-from scanloom.llm.tokens import Words, slices, split_words
+from scanloom.llm.tokens import Words, mix, slices, split_words
 
 FOLDS = 10
 ADD = 0.1
@@ -40,9 +40,8 @@ SLICE_BYTES = 4 << 20
 #: Tokens advanced together; texts of more than LONG tokens are gathered up to HELD tokens and advance in larger pieces.
 CHUNK, LONG_CHUNK = 250_000, 400_000
 LONG, HELD = 2048, 2_000_000
-#: Tokens for one task of a Baum-Welch pass, whose result has a row per class it met, and the least number of such tasks.
-TASK_TOKENS = 4_000_000
-LEAST_TASKS = 12
+#: Text of one block of rows: in a pass it meets the emissions of each of its rare words once.
+BLOCK_BYTES = 16 << 20
 
 
 def _bytes_of(words: Words, at: np.ndarray) -> pa.Array:
@@ -65,8 +64,8 @@ def count_words(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
-    """At most ``size`` words: all those above the lowest level of count (sixteenths of a power of two) that fits."""
+def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int, int]]:
+    """At most ``size`` words with count and hash: all those above the lowest level of count (sixteenths of a power of two) that fits."""
     level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # at most 1024 rows
     cut, total = None, 0
@@ -78,7 +77,7 @@ def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int]]:
     if cut is None:
         return []
     table = counts.where(level >= cut).toArrow()
-    return sorted(zip(table["word"].to_pylist(), table["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
+    return sorted(zip(table["word"].to_pylist(), table["c"].to_pylist(), table["hash"].to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 class Head:
@@ -106,38 +105,55 @@ class Head:
 
 
 def encode(rows: DataFrame, head: Broadcast) -> DataFrame:
-    """(row, id, held_out, classes, rare): classes of all tokens, the end included, and counts of words outside the head."""
+    """(block, id, held_out, classes, rare): classes of all tokens, the end included.
+
+    Class size + 2 + j is the j-th word outside the head of the row's block; the first row of a block lists these words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, table = TaskContext.get().partitionId() << 33, head.value
-        rare_type = pa.struct([("word", pa.binary()), ("n", pa.int32())])
+        block, table = TaskContext.get().partitionId() << 33, head.value
+        held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+        outside: list[pa.Array] = []
+        n_words = n_bytes = 0
+
+        def block_rows() -> Iterator[pa.RecordBatch]:
+            found = pa.chunked_array(outside, pa.binary()).combine_chunks().dictionary_encode()
+            place = found.indices.to_numpy()
+            for i, (batch, flat, ends) in enumerate(held):
+                rare = flat >= table.size + 2
+                flat[rare] = table.size + 2 + place[flat[rare] - table.size - 2]
+                listed = pa.array([found.dictionary.to_pylist() if i == 0 else None] + [None] * (batch.num_rows - 1), pa.list_(pa.binary()))
+                classes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(batch.num_rows, block)), batch.column("id"), batch.column("held_out"), classes, listed], names=["block", "id", "held_out", "classes", "rare"]
+                )
+
         for batch in slices(batches, "text", SLICE_BYTES):
-            texts = batch.num_rows
+            if not batch.num_rows:
+                continue
             words = split_words(batch.column("text"), lower=True)
             hashes, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
             classes = table.classify(words, at, hashes)
-            counts = words.counts
-            ends = np.cumsum(counts + 1)
+            rare = np.flatnonzero(classes == table.size)
+            classes[rare] = table.size + 2 + n_words + np.arange(len(rare))
+            ends = np.cumsum(words.counts + 1)
             flat = np.full(int(ends[-1]), table.size + 1, dtype=np.int32)
             inside = np.ones(len(flat), dtype=bool)
             inside[ends - 1] = False
             flat[inside] = classes[which]
-            outside = np.flatnonzero(classes[which] == table.size)
-            owner = np.repeat(np.arange(texts), counts)[outside]
-            pair, n = np.unique(owner * len(at) + which[outside], return_counts=True)
-            bounds = np.searchsorted(pair, np.arange(texts + 1) * len(at)).astype(np.int32)
-            rare = pa.StructArray.from_arrays([_bytes_of(words, at[pair % max(1, len(at))]), pa.array(n.astype(np.int32))], fields=list(rare_type))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + texts)), batch.column("id"), batch.column("held_out"),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)), pa.ListArray.from_arrays(pa.array(bounds), rare),
-                ],
-                names=["row", "id", "held_out", "classes", "rare"],
-            )
-            row += texts
+            held.append((batch.select(["id", "held_out"]), flat, ends))
+            outside.append(_bytes_of(words, at[rare]))
+            n_words, n_bytes = n_words + len(rare), n_bytes + len(words.data)
+            if n_bytes >= BLOCK_BYTES:
+                yield from block_rows()
+                block, n_words, n_bytes = block + 1, 0, 0
+                held.clear()
+                outside.clear()
+        if held:
+            yield from block_rows()
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, classes array<int>, rare array<struct<word: binary, n: int>>")
+    return rows.mapInArrow(run, f"block long, id {kind}, held_out boolean, classes array<int>, rare array<binary>")
 
 
 class Model:
@@ -147,13 +163,18 @@ class Model:
         self.start, self.step, self.emit = start, step, emit
 
 
-def first_model(unigram: np.ndarray, states: int) -> Model:
-    """Sticky states whose emissions are the unigram model, perturbed by a fixed random sequence."""
-    noise = np.random.Generator(np.random.PCG64(20240229)).standard_normal((len(unigram), states))
-    emit = unigram[:, None] * np.exp(SPREAD * noise)
+def noise(hashes: np.ndarray, states: int) -> np.ndarray:
+    """A fixed factor for each word and state: exp(SPREAD * z), z standard normal by the word's hash."""
+    k = np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    u = ((mix(hashes.astype(np.int64).view(np.uint64)[:, None] + k) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+    return np.exp(SPREAD * np.sqrt(-2 * np.log(u[:, :states])) * np.cos(2 * np.pi * u[:, states:]))
+
+
+def first_steps(states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Uniform first states and sticky transitions."""
     step = np.full((states, states), (1 - STAY) / max(1, states - 1))
     np.fill_diagonal(step, STAY if states > 1 else 1.0)
-    return Model(np.full(states, 1 / states), step, emit / emit.sum(axis=0))
+    return np.full(states, 1 / states), step
 
 
 class Packed:
@@ -253,36 +274,90 @@ def chunks(classes: pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, n
         yield values[take], first, own
 
 
-def learn(encoded: DataFrame, model: Model, unigram: np.ndarray, passes: int, prior: float, tasks: int) -> Model:
-    """Baum-Welch: ``passes`` times expected counts over all training rows, summed by class, then a new model."""
-    states, classes = len(model.start), len(unigram)
-    spark = encoded.sparkSession
+class Emissions:
+    """What a pass needs to know of emissions: the head's, the totals of each state, and how to find those of rare words.
+
+    ``rare`` gives (block, j, id, n, ...) of the words outside the head: first their hashes, then their expected counts.
+    """
+
+    def __init__(self, head: np.ndarray, total: np.ndarray, rare: DataFrame) -> None:
+        self.head, self.total, self.rare = head, total, rare
+
+
+class Block:
+    """The emissions of one block's classes: the head's, then those of the block's rare words."""
+
+    def __init__(self, found: pa.Table, emit: np.ndarray, total: np.ndarray, whole: float, prior: float) -> None:
+        states = len(total)
+        known = found.filter(found["id"].is_valid())
+        size = int(found["j"].to_numpy().max()) + 1 if found.num_rows else 0
+        at, n = known["j"].to_numpy(), known["n"].to_numpy()
+        unigram = (n + ADD) / whole
+        if "hash" in found.column_names:
+            own = unigram[:, None] * noise(known["hash"].to_numpy(), states)
+        else:
+            own = np.column_stack([known[f"s{k}"].fill_null(0.0).to_numpy() for k in range(states)]).astype(float) + prior * unigram[:, None]
+        rare = np.tile(emit[-2], (size, 1))  # words that no training text has share the class of the unseen
+        rare[at] = own / total
+        self.emit = np.vstack([emit, rare])
+        self.ids = np.full(size, -1, dtype=np.int64)
+        self.ids[at] = known["id"].to_numpy()
+        self.counts = np.zeros(size)
+        self.counts[at] = n
+
+
+def _by_block(rows: DataFrame, rare: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return rows.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(function, schema)
+
+
+def _expect(sent: Broadcast, whole: float, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Expected counts of one block: rare words by id, the head's classes, first states and transitions by keys below zero."""
+
+    def expect(rows: pa.Table, found: pa.Table) -> pa.Table:
+        start, step, head, total = sent.value
+        classes, states = head.shape
+        block = Block(found, head, total, whole, prior)
+        emissions = np.zeros_like(block.emit)
+        more = np.zeros((states + 1, states))
+        model = Model(start, step, block.emit)
+        for batch, size in by_length(rows.select(["classes"]).combine_chunks().to_batches(), "classes"):
+            for tokens, first, _ in chunks(batch.column(0), size):
+                opened, pairs = expected_counts(Packed(tokens, first), model, emissions)
+                more[0] += opened
+                more[1:] += pairs
+        keys = np.concatenate([-1 - np.arange(classes), block.ids, -1 - np.arange(classes, classes + states + 1)])
+        table = np.vstack([emissions, more]).astype(np.float32)
+        kept = np.flatnonzero(table.any(axis=1))
+        return pa.table([pa.array(keys[kept]), *(pa.array(table[kept, k]) for k in range(states))], names=["c", *(f"s{k}" for k in range(states))])
+
+    return expect
+
+
+def learn(training: DataFrame, occurs: DataFrame, start: np.ndarray, step: np.ndarray, first: Emissions, unigram: np.ndarray, whole: float, passes: int, prior: float) -> tuple[np.ndarray, np.ndarray, Emissions]:
+    """Baum-Welch: ``passes`` times expected counts over all training rows, summed by word, then a new model."""
+    states, classes = len(start), len(unigram)
+    spark = training.sparkSession
     names = [f"s{k}" for k in range(states)]
+    now, before = first, None
     for _ in range(passes):
-        sent = spark.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
-            emissions = np.zeros((classes, states))
-            more = np.zeros((states + 1, states))
-            for batch, size in by_length(batches, "classes"):
-                for tokens, first, _ in chunks(batch.column(0), size):
-                    opened, pairs = expected_counts(Packed(tokens, first), sent.value, emissions)
-                    more[0] += opened
-                    more[1:] += pairs
-            rows = np.vstack([emissions, more]).astype(np.float32)
-            kept = np.flatnonzero(rows.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(kept.astype(np.int32)), *(pa.array(rows[kept, k]) for k in range(states))], names=["c", *names])
-
-        counted = encoded.where("NOT held_out").select("classes").coalesce(tasks).mapInArrow(expect, f"c int, {', '.join(f'{n} float' for n in names)}")
-        table = counted.groupBy("c").agg(*(F.sum(F.col(n).cast("double")).alias(n) for n in names)).toArrow()  # at most one row per class
+        sent = spark.sparkContext.broadcast((start, step, now.head, now.total))
+
+        counted = _by_block(training, now.rare, _expect(sent, whole, prior), f"c long, {', '.join(f'{n} float' for n in names)}")
+        summed = counted.groupBy("c").agg(*(F.sum(F.col(n).cast("double")).cast("float").alias(n) for n in names)).persist(StorageLevel.DISK_ONLY)
+        table = summed.where("c < 0").toArrow()  # at most one row per class
+        rare = summed.where("c >= 0").agg(*(F.sum(F.col(n).cast("double")).alias(n) for n in names)).first()
         rows = np.zeros((classes + states + 1, states))
-        rows[table["c"].to_numpy()] = np.column_stack([table[n].to_numpy() for n in names])
+        rows[-1 - table["c"].to_numpy()] = np.column_stack([table[n].to_numpy() for n in names])
         emit = rows[:classes] + prior * unigram[:, None]
-        start = rows[classes] + 1.0
-        step = rows[classes + 1 :] + 1.0
-        model = Model(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        total = rows[:classes].sum(axis=0) + np.array([x or 0.0 for x in rare]) + prior
+        start, step = rows[classes] + 1.0, rows[classes + 1 :] + 1.0
+        start, step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
+        now = Emissions(emit / total, total, occurs.drop("hash").join(summed, F.col("id") == F.col("c"), "left").drop("c"))
         sent.unpersist()
-    return model
+        if before is not None:
+            before.unpersist()
+        before = summed
+    return start, step, now
 
 
 def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_size: int = HEAD, states: int = STATES, passes: int = PASSES, prior: float = PRIOR) -> DataFrame:
@@ -290,48 +365,58 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_siz
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).alias("text"))
     training = rows.where("NOT held_out")
-    counts = stored(count_words(training), "counts")
+    counts = stored(count_words(training).select("word", "c", F.monotonically_increasing_id().alias("id"), F.xxhash64("word").alias("hash")), "counts")
     ends = training.count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (1 if ends else 0)
     whole = total + ADD * (distinct + 1)
     head = head_words(counts, head_size)
     size = len(head)
-    known = np.array([c for _, c in head], dtype=float)
-    rest = total - ends - float(known.sum())
-    mass = np.concatenate([known + ADD, [rest + ADD * (sums["v"] - size + 1), ends + ADD * (1 if ends else 0)]]) / whole
-    if not ends:  # the end is then one of the unseen words, and they are all there is
-        mass = np.array([1.0, 1.0])
-    words = spark.sparkContext.broadcast(Head([w for w, _ in head]))
+    known = np.array([c for _, c, _ in head], dtype=float)
+    unigram = np.concatenate([known + ADD, [ADD, ends + ADD]]) / whole  # the head, any unseen word, the end
+    words = spark.sparkContext.broadcast(Head([w for w, _, _ in head]))
     encoded = stored(encode(rows, words), "classes")
-    unigram = mass if ends else np.array([0.5, 0.5])
-    model = learn(encoded, first_model(unigram, states), unigram, passes, prior, max(LEAST_TASKS, -(-total // TASK_TOKENS))) if ends else first_model(unigram, 1)
-    log_mass = np.log10(mass)
-    log_mass[size] = 0.0  # added per word below
-    sent = spark.sparkContext.broadcast((model, log_mass))
+    listed = encoded.where("rare IS NOT NULL").select("block", F.posexplode("rare").alias("j", "word"))
+    occurs = stored(listed.join(counts, "word", "left").select("block", "j", "id", F.col("c").alias("n"), "hash"), "occurs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = sent.value
-        for batch, size in by_length(batches, "classes"):
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = (batch.column(0).to_numpy() + ADD) / whole @ noise(batch.column(1).to_numpy(), states)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in part], names=[f"s{k}" for k in range(states)])
+
+    names = [f"s{k}" for k in range(states)]
+    every = counts.select("c", "hash").mapInArrow(spread, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
+    emit = unigram[:, None] * noise(np.array([h for _, _, h in head] + [1, 2], dtype=np.int64), states)
+    sum_all = np.array([x or 0.0 for x in every]) + emit[-2:].sum(axis=0)
+    start, step = first_steps(states)
+    found = Emissions(emit / sum_all, sum_all, occurs)
+    if ends:
+        start, step, found = learn(encoded.where("NOT held_out").select("block", "classes"), occurs, start, step, found, unigram, whole, passes, prior)
+    log_head = np.log10(unigram)
+    sent = spark.sparkContext.broadcast((start, step, found.head, found.total, log_head))
+
+    def run(rows: pa.Table, met: pa.Table) -> pa.Table:
+        start, step, head, total, log_head = sent.value
+        block = Block(met, head, total, whole, prior)
+        model = Model(start, step, block.emit)
+        logs = np.concatenate([log_head, np.log10((block.counts + ADD) / whole)])
+        new = np.concatenate([np.zeros(size + 2, dtype=np.int64), block.ids < 0])
+        if not ends:  # the end is then one of the unseen words, and they are all there is
+            logs[:], new[size + 1] = 0.0, 1
+        fields = pa.schema([("id", rows.schema.field("id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("likely", pa.float64())])
+        out = [pa.table([pa.array([], f.type) for f in fields], schema=fields)]
+        for batch, piece in by_length(rows.combine_chunks().to_batches(), "classes"):
             n = batch.num_rows
-            likely, base, sizes = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-            for tokens, first, own in chunks(batch.column("classes"), size):
+            likely, base, sizes, unseen = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            for tokens, first, own in chunks(batch.column("classes"), piece):
                 likely[own] = log10_likelihood(Packed(tokens, first), model) if ends else 0.0
                 base[own] = np.add.reduceat(logs[tokens], first[:-1])
+                unseen[own] = np.add.reduceat(new[tokens], first[:-1])
                 sizes[own] = np.diff(first)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(sizes), pa.array(base), pa.array(likely)], names=["row", "id", "held_out", "n_tokens", "base", "likely"])
+            columns = [batch.column("id"), batch.column("held_out"), pa.array(sizes), pa.array(sizes - unseen), pa.array(base), pa.array(likely)]
+            out.append(pa.Table.from_arrays(columns, schema=fields))
+        return pa.concat_tables(out)
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = encoded.select("row", "id", "held_out", "classes").mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, base double, likely double")
-    rare = encoded.select("row", F.explode("rare").alias("x")).select("row", "x.word", F.col("x.n").cast("long").alias("n"))
-    log_word = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ADD)) / F.lit(whole))
-    met = rare.join(counts, "word", "left").select("row", "n", F.when(F.col("c").isNull(), F.col("n")).otherwise(0).alias("unseen"), (F.col("n") * log_word).alias("base"))
-    by_row = met.groupBy(F.col("row").alias("at")).agg(F.sum("n").alias("n_rare"), F.sum("unseen").alias("unseen"), F.sum("base").alias("rare_base"))
-    out = scored.join(by_row, F.col("row") == F.col("at"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    base = F.col("base") + zero("rare_base")
-    share = zero("rare_base") - zero("n_rare") * F.lit(math.log10(mass[size]))
-    return out.select(
-        F.col("id").alias(key), "held_out", "n_tokens", (F.col("n_tokens") - zero("unseen") - F.lit(0 if ends else 1)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("likely") + share).alias("score"),
-    )
+    scored = _by_block(encoded.select("block", "id", "held_out", "classes"), found.rare, run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, likely double")
+    return scored.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("likely").alias("score"))

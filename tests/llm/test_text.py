@@ -218,6 +218,15 @@ def test_base_scores_and_held_out_gain(spark, head):
     assert all(r["score"] <= 0 for r in got)
 
 
+def test_scores_do_not_depend_on_the_size_of_the_head(spark):
+    rng = random.Random(4)
+    rows = C.texts() + [(100 + i, " ".join(f"{'xy'[i % 2]}{rng.randrange(40)}" for _ in range(60))) for i in range(120)]
+    docs = C.table(spark, rows).repartition(3).localCheckpoint()
+    found = [_sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 3)) for r in lm.score_table(docs, head_size=h, states=4).collect()) for h in (1 << 17, 5)]
+    for a, b in zip(*found):
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=0.002)
+
+
 def test_scores_without_training_rows(spark):
     assert lm.score_table(C.empty(spark)).count() == 0
     held = next(i for i in range(1000) if C.bucket(i, 10) == 0)
