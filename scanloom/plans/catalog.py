@@ -410,12 +410,16 @@ def registration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aligned(method: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        """Pose found for a curved lattice moved by a known pose, in millionths, with its pair count."""
-        base = d.reference(spark, sf_dir).where(F.col("idx") < 1500)
-        x, y = F.col("x").cast("double") - 25, F.col("y").cast("double") - 3
-        sx, sy = -0.04 * x, -0.06 * y
+        """Pose found for the whole lattice, curved and moved by a known pose, in millionths, with its pair count.
+
+        Curvature along y falls with the lattice's length, so that its slopes stay.
+        """
+        base = d.reference(spark, sf_dir)
+        span = (base.agg(F.max("y")).first()[0] or 7.0) / 7.0  # the lattice of the smallest tables is 7 mm long
+        x, y = F.col("x").cast("double") - 25, F.col("y").cast("double") - 3 * span
+        sx, sy = -0.04 * x, -0.06 / span * y
         size = F.sqrt(sx * sx + sy * sy + 1)
-        curved = base.withColumns({"z": (0.02 * x * x + 0.03 * y * y).cast("float"), "nx": (sx / size).cast("float"), "ny": (sy / size).cast("float"), "nz": (1 / size).cast("float"), "valid": F.lit(True)})
+        curved = base.withColumns({"z": (0.02 * x * x + 0.03 / span * y * y).cast("float"), "nx": (sx / size).cast("float"), "ny": (sy / size).cast("float"), "nz": (1 / size).cast("float"), "valid": F.lit(True)})
         shift = curved.withColumns({"x": (F.col("x") - 0.02).cast("float"), "y": (F.col("y") + 0.01).cast("float"), "z": (F.col("z") - 0.03).cast("float")})
         context = RegistrationContext(_surface(curved), RegistrationParameters(40, 0.4, 0.1, 1e-6, 1e-7, 1e-9, method))
         found = context.align(_surface(shift, frame="scanner"), RigidTransform.identity("scanner", "fixture"))
