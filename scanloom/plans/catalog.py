@@ -475,20 +475,35 @@ def region_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FILE_SQL = _with(d.SCAN_SQL) + f"SELECT idx, row_idx, col_idx, {', '.join(f'{q_sql(c)} AS {c}_um' for c in 'xyz')}, CAST(nz AS INTEGER) AS nz, valid FROM scan WHERE idx < 1500"
 
 
+def _grid(df: DataFrame) -> tuple[DataFrame, int]:
+    """A lattice with its height; places without a row get an invalid point, so that the grid is full."""
+    found = df.agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("last"), F.count("*").alias("n")).first()
+    height = found["last"] // d.WIDTH + 1
+    if found["n"] == height * d.WIDTH:
+        return df, height
+    k, zero = F.col("idx"), F.lit(0.0).cast("float")
+    row, col = F.floor(k / d.WIDTH).cast("int"), (k % d.WIDTH).cast("int")
+    pad = df.sparkSession.range(height * d.WIDTH).select(F.col("id").alias("idx")).join(df.select("idx"), "idx", "left_anti")
+    values = {"row_idx": row, "col_idx": col, "x": (col * d.STEP).cast("float"), "y": (row * d.STEP).cast("float"), "z": zero, "nx": zero, "ny": zero, "nz": F.lit(1.0).cast("float"), "valid": F.lit(False)}
+    return df.unionByName(pad.withColumns(values)), height
+
+
 def _through_file(kind: str, encoding: str) -> Query:
-    """Write the first 15 rows of the scan's lattice as a point file and read it back through the data source."""
+    """Write the scan's whole lattice as a point file and read it back through the data source."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from scanloom import storage
         from scanloom.sources import point_files
 
-        rows = 1500 // d.WIDTH
-        surface = Surface(d.scan(spark, sf_dir).where("idx < 1500"), "millimeter", "scanner", True, True, d.WIDTH, rows, d.WIDTH)
+        scan = d.scan(spark, sf_dir)
+        full, height = _grid(scan)
+        surface = Surface(full, "millimeter", "scanner", True, True, d.WIDTH, height, d.WIDTH)
         path = f"{storage.scratch(spark, 'files')}/scan.{kind}"
         write, read = (point_files.write_ply, point_files.read_ply) if kind == "ply" else (point_files.write_pcd, point_files.read_pcd)
         write(surface, path, encoding)
         back = read(spark, path, "millimeter", "scanner", rows=400)
-        return back.df.select("idx", "row_idx", "col_idx", *(q(F.col(c)).alias(f"{c}_um") for c in "xyz"), F.col("nz").cast("int").alias("nz"), "valid")
+        found = back.df if full is scan else back.df.join(scan.select("idx"), "idx", "left_semi")
+        return found.select("idx", "row_idx", "col_idx", *(q(F.col(c)).alias(f"{c}_um") for c in "xyz"), F.col("nz").cast("int").alias("nz"), "valid")
 
     return run
 

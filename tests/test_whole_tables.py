@@ -17,3 +17,16 @@ def test_alignment_of_the_whole_lattice(spark, method):
     assert found["valid_pairs"] == d.reference(spark, DATA).count()
     assert found["convergence"] == "converged"
     assert (found["tx_e4"], found["ty_e4"], found["tz_e4"]) == pytest.approx((200, -100, 300), abs=1)
+
+
+@pytest.mark.parametrize("name", ["ply_binary_scan", "ply_ascii_scan", "pcd_binary_scan", "pcd_ascii_scan"])
+def test_whole_scan_through_files(spark, name):
+    got = catalog.queries()[name](spark, DATA)
+    nz = d.F.col("nz").cast("int").alias("nz")
+    want = d.scan(spark, DATA).select("idx", "row_idx", "col_idx", *(d.q(d.F.col(c)).alias(f"{c}_um") for c in "xyz"), nz, "valid")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_grid_is_filled(spark):
+    full, height = catalog._grid(d.scan(spark, DATA).where("idx < 1234 AND idx <> 7"))
+    assert height == 13 and full.count() == 1300 and full.where("NOT valid AND (idx = 7 OR idx >= 1234)").count() == 67
