@@ -527,14 +527,14 @@ CONFIG = {
 
 @_register()
 def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One whole inspection: the lattice with a raised square against the flat lattice."""
+    """One whole inspection: the whole lattice with a raised square against the flat lattice."""
     from scanloom.plans.pipeline import InspectionPipeline
 
-    base = d.reference(spark, sf_dir).where("idx < 1500").withColumns({"valid": F.lit(True), "nz": F.lit(1.0).cast("float")})
+    base, height = _grid(d.reference(spark, sf_dir).withColumns({"valid": F.lit(True), "nz": F.lit(1.0).cast("float")}))
     square = F.col("col_idx").between(40, 46) & F.col("row_idx").between(4, 9)
     raised = base.withColumn("z", F.when(square, F.lit(0.6)).otherwise(F.lit(0.0)).cast("float"))
     config = parse_config(json.dumps(CONFIG))
-    grid = (d.WIDTH, 1500 // d.WIDTH, d.WIDTH)
+    grid = (d.WIDTH, height, d.WIDTH)
     report = InspectionPipeline(config).run(Surface(base, "millimeter", "fixture", True, True, *grid), Surface(raised, "millimeter", "scanner", True, True, *grid))
     rows = [(report["verdict"], r["id"], r["type"], r["point_count"], r["severity"]) for r in report["regions"]] or [(report["verdict"], None, None, None, None)]
     return spark.createDataFrame(rows, "verdict string, id int, type string, point_count long, severity string")

@@ -30,3 +30,13 @@ def test_whole_scan_through_files(spark, name):
 def test_grid_is_filled(spark):
     full, height = catalog._grid(d.scan(spark, DATA).where("idx < 1234 AND idx <> 7"))
     assert height == 13 and full.count() == 1300 and full.where("NOT valid AND (idx = 7 OR idx >= 1234)").count() == 67
+
+
+def test_inspection_of_the_whole_lattice(spark, monkeypatch):
+    from scanloom.plans.pipeline import InspectionPipeline
+
+    seen, run = [], InspectionPipeline.run
+    monkeypatch.setattr(InspectionPipeline, "run", lambda self, *surfaces: seen.extend((s.df.count(), s.height) for s in surfaces) or run(self, *surfaces))
+    rows = catalog.queries()["inspection"](spark, DATA).collect()
+    assert seen == [(15000, 150)] * 2
+    assert {r["verdict"] for r in rows} == {"fail"}
