@@ -119,7 +119,7 @@ def lexed_spans(text: str) -> set[tuple[int, int]]:
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind; the lexer's spans are those that meet no base span."""
+    """(kind, start, end) by start, then kind; the lexer's spans are those that no base span covers whole."""
     text = text or ""
     base = []
     if _KEYWORD.search(text):
@@ -130,7 +130,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     more = []
     if "=" in text or ":" in text:
         covered = sorted((a, b) for _, a, b in base)
-        more = [("literal", a, b) for a, b in lexed_spans(text) if not any(x < b and a < y for x, y in covered)]
+        more = [("literal", a, b) for a, b in lexed_spans(text) if not any(x <= a and b <= y for x, y in covered)]
     return sorted(base + more, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 

@@ -111,6 +111,14 @@ def test_lexer_follows_names_to_literals():
     assert not [s for s in secrets.find_spans(loop) if s[0] == "literal"]
 
 
+def test_literals_that_reach_beyond_a_base_span():
+    text = 'password = "Summer2024!Qz#99x" # end'
+    assert secrets.find_spans(text) == [("assign", 0, 22), ("literal", 12, 29)]
+    assert secrets.redact(text) == 'password = "[REDACTED]" # end'
+    held = 'db_credential = "Zx!deadbeefdeadbeefdeadbeef01!Kq"'
+    assert [k for k, _, _ in secrets.find_spans(held)] == ["literal", "hex"] and secrets.redact(held) == 'db_credential = "[REDACTED]"'
+
+
 def test_scan_and_redaction(spark):
     rows = C.texts() + [(40, 'x token = "0123456789abcdef01234567" y')]
     docs = C.table(spark, rows)
