@@ -40,10 +40,11 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias(common.KEY)).distinct().hint("shuffle_hash")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col(common.KEY)), "left_anti")
+    """Documents without any window of a benchmark item; rows are told apart by id and text."""
+    keyed = docs.withColumn(common.KEY, common.row_key("doc_id", "text"))
+    found = decontamination.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.KEY)
+    hit = found.where("n_hit > 0").select(common.KEY).distinct().hint("shuffle_hash")
+    return keyed.join(hit, common.KEY, "left_anti").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,6 +361,16 @@ def _folder(spark, path):
     return everything, [(1, passage)]
 
 
+def test_only_contaminated_rows_go(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean, bad = "nothing of it here", f"see {item} there"
+    docs = C.table(spark, [(None, bad), (None, clean), (None, None), (7, bad), (7, clean), (7, clean), (8, clean)])
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert _sorted((r["doc_id"], r["text"]) for r in kept.collect()) == _sorted([(None, clean), (None, None), (7, clean), (7, clean), (8, clean)])
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     folder = str(tmp_path)
     rows, items = _folder(spark, folder)
