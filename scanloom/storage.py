@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temp folder only where it is unset (tests on one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temp folder only where it is unset and all tasks run in this process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="scanloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -37,6 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table made by ``stored`` that nothing will read again, and what the JVM still holds of past shuffles."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        table = jvm.org.apache.hadoop.fs.Path(file).getParent()
+        table.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    gc.collect()
+    jvm.System.gc()  # Spark drops the files of shuffles that no plan refers to any more
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; Spark drops its files with the last reference."""
     shared_dir(df.sparkSession)
