@@ -4,14 +4,26 @@ Latent states emit words. Baum-Welch: each pass over the training texts computes
 transitions and emissions by forward-backward; the counts are summed over all partitions and make the next model.
 The scaled forward recursion then gives each text's exact log-probability.
 
-Words are counted exactly over the whole training corpus, and each training word has emissions of its own. Those of the ``HEAD``
-most frequent words, of the end of a text and of any unseen word are broadcast with the model; all others stay in distributed
-tables: rows are kept in blocks of text, a pass joins each block with the emissions of its rare words, and expected counts go
-back by word. So the model is a distribution over the same V + 1 words as the base, grows with the vocabulary,
-and ``HEAD`` only says where a word's emissions are held.
+Every training word has emissions of its own; no table of words is gathered or broadcast. Rows are kept in blocks of text, with
+tokens as places in the block's own word list. A pass is two exchanges of packed arrays: a block sends, for each of
+``parts`` parts of the vocabulary, its words' counts and the share of each state in them; a part adds these up over all blocks and
+answers each block with its words' totals. Shares are 16-bit and counts whole numbers, so that the sums are exact and do not
+depend on the order of blocks.
+
+Emissions of state k: a known word w has (1 - MIX) * E_k(w) / E_k + MIX * c(w) / N of the mass that the base gives to known words;
+a word that no training text has keeps the base's probability in every state. So each state is a distribution over the same
+V + 1 words as the base.
+
+Start: clusters of at most ``SAMPLE`` training texts of at most ``SAMPLE_BYTES`` (those of least hash) by their hashed words; each word
+starts with the shares of its hash bucket. The passes that follow read all training texts.
+
+Long texts are cut into segments of ``SEGMENT`` tokens that advance together: the product of a segment's transfer matrices
+carries forward and backward messages over it, so the recursions stay exact while memory is bounded by ``CHUNK`` tokens,
+besides the tokens themselves.
 
 Defined results: null text counts as empty and scores its end token alone; without training texts N, V and c are 0 and both scores
-are 0; repeated rows are separate texts; a null id counts as the empty text in the fold rule; an empty table gives an empty result.
+are 0; repeated rows are separate texts; a null id counts as the empty text in the fold rule; ties in the start's clusters go to the
+first; columns of other names, whatever they are, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,28 +32,63 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, StorageLevel, TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import ascii_bucket, stored
+from scanloom.llm.common import ascii_bucket, discard, stored
 from scanloom.llm.tokens import Words, mix, slices, split_words
 
 FOLDS = 10
 ADD = 0.1
-HEAD = 1 << 17
 STATES = 8
 PASSES = 3
-#: Weight of the unigram model in each state's emissions, in tokens.
-PRIOR = 2000.0
+#: Weight of the unigram model in each state's emissions of known words.
+MIX = 0.05
 STAY = 0.98
-SPREAD = 1.5
-SLICE_BYTES = 4 << 20
-#: Tokens advanced together; texts of more than LONG tokens are gathered up to HELD tokens and advance in larger pieces.
-CHUNK, LONG_CHUNK = 250_000, 400_000
-LONG, HELD = 2048, 2_000_000
-#: Text of one block of rows: in a pass it meets the emissions of each of its rare words once.
+SAMPLE, SAMPLE_BYTES = 1000, 64 << 10
+BUCKETS = 1 << 14
+SLICE_BYTES = 2 << 20
+#: Tokens of one segment, and of the segments that advance together.
+SEGMENT, CHUNK = 2048, 300_000
+#: Text of one block of rows, and text of which one part of the vocabulary gets the words: parts grow with the corpus.
 BLOCK_BYTES = 16 << 20
+PART_BYTES = 64 << 20
+FULL = 65535
+#: Blocks' counts of first states and transitions are added up in so many groups.
+STAT_GROUPS = 64
+END = b""
+
+
+# ---------------------------------------------------------------------------------- tokens of a block
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as bytes of seven bits, the least first; small ones take one byte."""
+    v = values.astype(np.uint32)
+    size = 1 + (v >= 1 << 7).astype(np.int64) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    starts = ends - size
+    for i in range(5):
+        own = size > i
+        if not own.any():
+            break
+        more = (size[own] > i + 1).astype(np.uint8) << 7
+        out[starts[own] + i] = ((v[own] >> np.uint32(7 * i)) & np.uint32(127)).astype(np.uint8) | more
+    return out.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    size = ends - starts + 1
+    out = (raw[starts] & 127).astype(np.int32)
+    for i in range(1, int(size.max()) if len(size) else 0):
+        own = size > i
+        out[own] |= (raw[starts[own] + i] & 127).astype(np.int32) << (7 * i)
+    return out
 
 
 def _bytes_of(words: Words, at: np.ndarray) -> pa.Array:
@@ -52,124 +99,95 @@ def _bytes_of(words: Words, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(words.data[take])])
 
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """(word, c) over all training rows; each block of text is counted by word hash before the shuffle."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
-            words = split_words(batch.column("text"), lower=True)
-            _, at, counts = np.unique(words.hashes, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([_bytes_of(words, at), pa.array(counts.astype(np.int64))], names=["word", "c"])
+def _hash(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each binary value, by its bytes alone (the word hashes of ``split_words``)."""
+    joined = b" ".join(words.to_pylist())
+    out = np.zeros(len(words), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1])) if len(words) else np.empty(0, np.int64)
+    if len(full):
+        data = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(joined)], dtype=np.int64)), pa.py_buffer(joined))
+        out[full] = split_words(data, lower=False).hashes
+    return out
 
-    return rows.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def encode(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of three kinds: texts (block, id, held_out, tokens), word lists (block, part, words, counts), and one row a block
+    with the order in which its words were dealt to parts (in counts).
 
-def head_words(counts: DataFrame, size: int) -> list[tuple[bytes, int, int]]:
-    """At most ``size`` words with count and hash: all those above the lowest level of count (sixteenths of a power of two) that fits."""
-    level = F.floor(F.log2(F.col("c").cast("double")) * 16).cast("int")
-    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()  # at most 1024 rows
-    cut, total = None, 0
-    for x in levels:
-        total += x["n"]
-        if total > size:
-            break
-        cut = x["level"]
-    if cut is None:
-        return []
-    table = counts.where(level >= cut).toArrow()
-    return sorted(zip(table["word"].to_pylist(), table["c"].to_pylist(), table["hash"].to_pylist()), key=lambda x: (-x[1], x[0]))
-
-
-class Head:
-    """The head words by hash: places in the sorted hashes, their classes, and the words themselves."""
-
-    def __init__(self, words: list[bytes]) -> None:
-        self.size, self.words = len(words), words
-        joined = pa.array([b" ".join(words).decode()], pa.large_string())
-        hashes = split_words(joined, lower=False).hashes
-        self.classes = np.argsort(hashes, kind="stable").astype(np.int32)
-        self.hashes = hashes[self.classes]
-
-    def classify(self, words: Words, places: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """Class of each distinct word, ``size`` for words outside the head; equal hashes are compared as words."""
-        out = np.full(len(places), self.size, dtype=np.int32)
-        if not self.size or not len(places):
-            return out
-        spot = np.minimum(np.searchsorted(self.hashes, hashes), self.size - 1)
-        same = np.flatnonzero(self.hashes[spot] == hashes)
-        classes = self.classes[spot[same]]
-        found = _bytes_of(words, places[same]).to_pylist()
-        good = np.fromiter((self.words[c] == w for c, w in zip(classes.tolist(), found)), dtype=bool, count=len(same))
-        out[same[good]] = classes[good]
-        return out
-
-
-def encode(rows: DataFrame, head: Broadcast) -> DataFrame:
-    """(block, id, held_out, classes, rare): classes of all tokens, the end included.
-
-    Class size + 2 + j is the j-th word outside the head of the row's block; the first row of a block lists these words.
+    A token is the place of its word in the block's list, most frequent first; the empty word ends each text.
     """
 
+    kind = rows.schema["id"].dataType.simpleString()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table = TaskContext.get().partitionId() << 33, head.value
+        block = TaskContext.get().partitionId() << 33
         held: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
-        outside: list[pa.Array] = []
+        listed: list[pa.Array] = []
         n_words = n_bytes = 0
 
-        def block_rows() -> Iterator[pa.RecordBatch]:
-            found = pa.chunked_array(outside, pa.binary()).combine_chunks().dictionary_encode()
-            place = found.indices.to_numpy()
-            for i, (batch, flat, ends) in enumerate(held):
-                rare = flat >= table.size + 2
-                flat[rare] = table.size + 2 + place[flat[rare] - table.size - 2]
-                listed = pa.array([found.dictionary.to_pylist() if i == 0 else None] + [None] * (batch.num_rows - 1), pa.list_(pa.binary()))
-                classes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, block)), batch.column("id"), batch.column("held_out"), classes, listed], names=["block", "id", "held_out", "classes", "rare"]
-                )
+        def closed(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            found = pa.chunked_array(listed, pa.binary()).combine_chunks().dictionary_encode()
+            place, distinct = found.indices.to_numpy(), len(found.dictionary)
+            tokens = [place[flat] for _, flat, _ in held]
+            counts = np.zeros(distinct, dtype=np.int64)
+            trained = np.zeros(distinct, dtype=np.int64)
+            for (batch, _, ends), own in zip(held, tokens):
+                counts += np.bincount(own, minlength=distinct)
+                trains = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+                trained += np.bincount(own[np.repeat(trains, np.diff(ends))], minlength=distinct)
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(distinct, dtype=np.int64)
+            rank[order] = np.arange(distinct)
+            words = found.dictionary.take(pa.array(order))
+            schema = pa.schema([("block", pa.int64()), ("id", id_type), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("part", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
+            for (batch, _, ends), own in zip(held, tokens):
+                own = rank[own]
+                n = batch.num_rows
+                packed = pa.array([pack(own[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), batch.column("id"), batch.column("held_out"), packed, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary())], schema=schema)
+            part = (_hash(words) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            which, first = np.unique(part[by], return_index=True)
+            n = len(which)
+            dealt = pa.array([by.astype(np.int32).tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.nulls(1, f.type) for f in list(schema)[1:6]), dealt], schema=schema)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, distinct).astype(np.int32)), words.take(pa.array(by)))
+            sums = trained[order][by].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, id_type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(which.astype(np.int32)), lists, _blobs(sums, first[1:])], schema=schema)
 
         for batch in slices(batches, "text", SLICE_BYTES):
-            if not batch.num_rows:
-                continue
+            id_type = batch.schema.field("id").type
             words = split_words(batch.column("text"), lower=True)
-            hashes, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            classes = table.classify(words, at, hashes)
-            rare = np.flatnonzero(classes == table.size)
-            classes[rare] = table.size + 2 + n_words + np.arange(len(rare))
-            ends = np.cumsum(words.counts + 1)
-            flat = np.full(int(ends[-1]), table.size + 1, dtype=np.int32)
+            _, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+            ends = np.concatenate([[0], np.cumsum(words.counts + 1)])
+            flat = np.full(int(ends[-1]), n_words, dtype=np.int64)  # the end is the slice's first word
             inside = np.ones(len(flat), dtype=bool)
-            inside[ends - 1] = False
-            flat[inside] = classes[which]
+            inside[ends[1:] - 1] = False
+            flat[inside] = n_words + 1 + which
             held.append((batch.select(["id", "held_out"]), flat, ends))
-            outside.append(_bytes_of(words, at[rare]))
-            n_words, n_bytes = n_words + len(rare), n_bytes + len(words.data)
+            listed += [pa.array([END], pa.binary()), _bytes_of(words, at)]
+            n_words, n_bytes = n_words + 1 + len(at), n_bytes + len(words.data)
             if n_bytes >= BLOCK_BYTES:
-                yield from block_rows()
+                yield from closed(id_type)
                 block, n_words, n_bytes = block + 1, 0, 0
                 held.clear()
-                outside.clear()
+                listed.clear()
         if held:
-            yield from block_rows()
+            yield from closed(id_type)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"block long, id {kind}, held_out boolean, classes array<int>, rare array<binary>")
+    return rows.mapInArrow(run, f"block long, id {kind}, held_out boolean, tokens binary, part int, words array<binary>, counts binary")
+
+
+# ---------------------------------------------------------------------------------- the model and its recursions
 
 
 class Model:
-    """``start`` (K), ``step`` (K x K) and ``emit`` (classes x K); each state's emissions sum to one."""
+    """``start`` (K), ``step`` (K x K) and ``emit`` (words x K)."""
 
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray) -> None:
         self.start, self.step, self.emit = start, step, emit
 
 
-def noise(hashes: np.ndarray, states: int) -> np.ndarray:
-    """A fixed factor for each word and state: exp(SPREAD * z), z standard normal by the word's hash."""
-    k = np.arange(1, 2 * states + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    u = ((mix(hashes.astype(np.int64).view(np.uint64)[:, None] + k) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
-    return np.exp(SPREAD * np.sqrt(-2 * np.log(u[:, :states])) * np.cos(2 * np.pi * u[:, states:]))
-
-
 def first_steps(states: int) -> tuple[np.ndarray, np.ndarray]:
     """Uniform first states and sticky transitions."""
     step = np.full((states, states), (1 - STAY) / max(1, states - 1))
@@ -177,246 +195,363 @@ def first_steps(states: int) -> tuple[np.ndarray, np.ndarray]:
     return np.full(states, 1 / states), step
 
 
-class Packed:
-    """Token sequences laid out by time: step t holds the t-th token of every sequence that has one, longest first."""
+class Segments:
+    """Texts cut into segments of at most ``size`` tokens; ``first`` has the texts' offsets in ``tokens``."""
 
-    def __init__(self, classes: np.ndarray, first: np.ndarray) -> None:
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, size: int) -> None:
+        self.tokens = tokens
         sizes = np.diff(first)
+        many = -(-sizes // size)
+        self.text = np.repeat(np.arange(len(sizes)), many)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(many) - many, many)
+        self.begins = first[:-1][self.text] + nth * size
+        self.sizes = np.minimum(size, first[1:][self.text] - self.begins)
+        self.opens = nth == 0
+        self.closes = nth == many[self.text] - 1
+
+
+class Packed:
+    """Segments laid out by time: step t holds the t-th token of every segment that has one, longest first."""
+
+    def __init__(self, tokens: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
         self.order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[self.order]
+        sizes, begins = sizes[self.order], begins[self.order]
         steps = int(sizes[0]) if len(sizes) else 0
         self.active = np.searchsorted(-sizes, -np.arange(steps), side="left")
         self.base = np.concatenate([[0], np.cumsum(self.active)])
-        t = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        j = np.repeat(np.arange(len(sizes)), sizes)
-        at = self.base[t] + j
-        source = np.repeat(first[:-1][self.order], sizes) + t
-        self.classes = np.empty(len(at), dtype=classes.dtype)
-        self.classes[at] = classes[source]
-        self.owner = np.empty(len(at), dtype=np.int64)
-        self.owner[at] = j
-
-
-def forward(p: Packed, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emissions, scaled forward probabilities and scales of each token."""
-    emitted = model.emit[p.classes]
+        self.owner = np.arange(self.base[-1]) - np.repeat(self.base[:-1], self.active)
+        self.tokens = tokens[begins[self.owner] + np.repeat(np.arange(steps), self.active)]
+        self.last = self.base[sizes - 1] + np.arange(len(sizes))
+
+
+def forward(p: Packed, model: Model, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, scaled forward probabilities and scales of each token, given the state distribution before each segment's first."""
+    emitted = model.emit[p.tokens]
     alpha, scale = np.empty_like(emitted), np.empty(len(emitted))
     base, a = p.base.tolist(), None
     for t, n in enumerate(p.active.tolist()):
         at = slice(base[t], base[t + 1])
-        a = (model.start if t == 0 else a[:n] @ model.step) * emitted[at]
+        a = (entry if t == 0 else a[:n] @ model.step) * emitted[at]
         c = a.sum(axis=1)
         a /= c[:, None]
         alpha[at], scale[at] = a, c
     return emitted, alpha, scale
 
 
-def log10_likelihood(p: Packed, model: Model) -> np.ndarray:
-    """The exact log10 probability of each sequence, in its given order."""
-    _, _, scale = forward(p, model)
-    out = np.empty(len(p.order))
-    out[p.order] = np.bincount(p.owner, weights=np.log10(scale), minlength=len(p.order))
+def transfers(p: Packed, model: Model) -> np.ndarray:
+    """For each segment, in its given order, the product of step * diag(emission) over its tokens, up to a factor."""
+    k = len(model.start)
+    m = np.broadcast_to(np.eye(k), (len(p.order), k, k)).copy()
+    base = p.base.tolist()
+    for t, n in enumerate(p.active.tolist()):
+        e = model.emit[p.tokens[base[t] : base[t + 1]]]
+        x = (m[:n].reshape(n * k, k) @ model.step).reshape(n, k, k) * e[:, None, :]
+        m[:n] = x / x.sum(axis=(1, 2), keepdims=True)
+    out = np.empty_like(m)
+    out[p.order] = m
     return out
 
 
-def expected_counts(p: Packed, model: Model, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts of first states and of transitions; those of emissions are added to ``emissions``."""
-    emitted, alpha, scale = forward(p, model)
-    gamma = alpha  # becomes alpha * beta in place, from the last step back
-    active, base = p.active.tolist(), p.base.tolist()
-    pairs, beta = np.zeros_like(model.step), None
-    for t in range(len(active) - 1, -1, -1):
-        at = slice(base[t], base[t + 1])
-        now = np.ones((active[t], len(model.start)))
-        if beta is not None:
-            n, later = active[t + 1], slice(base[t + 1], base[t + 2])
-            w = emitted[later] * beta / scale[later][:, None]
-            now[:n] = w @ model.step.T
-            pairs += alpha[base[t] : base[t] + n].T @ w
-        gamma[at] *= now
-        beta = now
-    for k in range(gamma.shape[1]):
-        emissions[:, k] += np.bincount(p.classes, weights=gamma[:, k], minlength=len(emissions))
-    return gamma[: active[0]].sum(axis=0), pairs * model.step
-
-
-def by_length(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Rows with their piece size: short texts batch by batch, long ones gathered so that many advance together."""
-    held: list[pa.RecordBatch] = []
-    tokens = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = np.diff(batch.column(batch.schema.get_field_index(column)).offsets.to_numpy())
-        long = sizes > LONG
-        if not long.all():
-            yield batch.filter(pa.array(~long)), CHUNK
-        if long.any():
-            held.append(batch.filter(pa.array(long)))
-            tokens += int(sizes[long].sum())
-        if tokens > HELD:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], LONG_CHUNK
-            held, tokens = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0], LONG_CHUNK
-
-
-def chunks(classes: pa.Array, size: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of a batch of about ``size`` tokens with texts of like length: tokens, offsets, and the texts' places."""
-    offsets = classes.offsets.to_numpy().astype(np.int64)
-    values = classes.values.to_numpy()
-    sizes = np.diff(offsets)
+def _pieces(sizes: np.ndarray, chunk: int) -> Iterator[np.ndarray]:
+    """Places of segments in groups of about ``chunk`` tokens, of like size."""
     order = np.argsort(-sizes, kind="stable")
-    piece = (np.cumsum(sizes[order]) - sizes[order]) // size
-    for own in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
-        first = np.concatenate([[0], np.cumsum(sizes[own])])
-        take = np.repeat(offsets[own] - first[:-1], sizes[own]) + np.arange(first[-1])
-        yield values[take], first, own
+    piece = (np.cumsum(sizes[order]) - sizes[order]) // chunk
+    yield from np.split(order, np.flatnonzero(np.diff(piece)) + 1) if len(order) else ()
+
+
+def messages(s: Segments, model: Model, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forward probabilities before each segment (the first of a text: none) and backward ones after it (the last: ones)."""
+    k = len(model.start)
+    before, after = np.zeros((len(s.sizes), k)), np.ones((len(s.sizes), k))
+    cut = np.flatnonzero(~(s.opens & s.closes))
+    opening, later = cut[s.opens[cut]], cut[~s.opens[cut]]
+    ends, product = np.empty((len(s.sizes), k)), np.empty((len(later), k, k))
+    for own in _pieces(s.sizes[opening], chunk):
+        p = Packed(s.tokens, s.begins[opening[own]], s.sizes[opening[own]])
+        ends[opening[own[p.order]]] = forward(p, model, np.broadcast_to(model.start, (len(own), k)))[1][p.last]
+    for own in _pieces(s.sizes[later], max(1, chunk // k)):
+        product[own] = transfers(Packed(s.tokens, s.begins[later[own]], s.sizes[later[own]]), model)
+    for m, at in zip(product, later.tolist()):  # one step a segment
+        before[at] = ends[at - 1]
+        a = before[at] @ m
+        ends[at] = a / a.sum()
+    for m, at in zip(product[::-1], later[::-1].tolist()):
+        b = m @ after[at]
+        after[at - 1] = b / b.sum()
+    return before, after
+
+
+def log10_likelihood(tokens: np.ndarray, first: np.ndarray, model: Model, segment: int = SEGMENT, chunk: int = CHUNK) -> np.ndarray:
+    """The exact log10 probability of each text."""
+    s = Segments(tokens, first, segment)
+    before, _ = messages(s, model, chunk)
+    out = np.zeros(len(first) - 1)
+    for own in _pieces(s.sizes, chunk):
+        p = Packed(tokens, s.begins[own], s.sizes[own])
+        entry = np.where(s.opens[own][:, None], model.start, before[own] @ model.step)[p.order]
+        _, _, scale = forward(p, model, entry)
+        logs = np.bincount(p.owner, weights=np.log10(scale), minlength=len(own))
+        out += np.bincount(s.text[own][p.order], weights=logs, minlength=len(out))
+    return out
 
 
-class Emissions:
-    """What a pass needs to know of emissions: the head's, the totals of each state, and how to find those of rare words.
+def expected_counts(tokens: np.ndarray, first: np.ndarray, model: Model, emissions: np.ndarray, segment: int = SEGMENT, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of first states and of transitions; those of emissions are added to ``emissions``."""
+    s = Segments(tokens, first, segment)
+    before, after = messages(s, model, chunk)
+    k = len(model.start)
+    opened, pairs = np.zeros(k), np.zeros((k, k))
+    for own in _pieces(s.sizes, chunk):
+        p = Packed(tokens, s.begins[own], s.sizes[own])
+        opens, prev = s.opens[own][p.order], before[own][p.order]
+        emitted, alpha, scale = forward(p, model, np.where(opens[:, None], model.start, prev @ model.step))
+        end = after[own][p.order]
+        end /= (alpha[p.last] * end).sum(axis=1)[:, None]
+        gamma = np.empty_like(alpha)
+        active, base = p.active.tolist(), p.base.tolist()
+        beta = w = None
+        for t in range(len(active) - 1, -1, -1):
+            at, n = slice(base[t], base[t + 1]), active[t]
+            grown = active[t + 1] if t + 1 < len(active) else 0
+            now = end[:n].copy() if grown < n else np.empty((n, k))
+            if grown:
+                now[:grown] = w @ model.step.T
+                pairs += alpha[base[t] : base[t] + grown].T @ w
+            gamma[at] = alpha[at] * now
+            beta = now
+            w = emitted[at] * beta / scale[at][:, None]
+        if len(active):
+            pairs += prev[~opens].T @ w[~opens]
+            opened += gamma[: active[0]][opens].sum(axis=0)
+        for j in range(k):
+            emissions[:, j] += np.bincount(p.tokens, weights=gamma[:, j], minlength=len(emissions))
+    return opened, pairs * model.step
+
+
+# ---------------------------------------------------------------------------------- the start
+
+
+def first_shares(texts: list[str], states: int) -> np.ndarray:
+    """(BUCKETS, states): the share of each state in the words of a hash bucket, from clusters of the texts by their words."""
+    table = np.full((BUCKETS, states), 1.0 / states)
+    words = split_words(pa.array(texts, pa.large_string()), lower=True)
+    many = words.counts
+    if states < 2 or not (many > 0).any():
+        return table
+    width = 1 << 10  # for the distances between texts
+    owner = np.repeat(np.arange(len(many)), many)
+    code = owner * width + (words.hashes % np.uint64(width)).astype(np.int64)
+    x = np.sqrt(np.bincount(code, minlength=len(many) * width).reshape(len(many), width))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x[int(np.argmax(many))]]  # the longest text, then always the one farthest from all before, weighed by its length
+    for _ in range(states - 1):
+        far = (1 - (x @ np.array(centres).T).max(axis=1)) * np.log1p(many)
+        centres.append(x[int(np.argmax(far))])
+    c = np.array(centres)
+    for _ in range(10):
+        near = np.argmax(x @ c.T, axis=1)
+        sums = np.stack([x[near == j].sum(axis=0) for j in range(states)])
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norms > 0, sums / np.maximum(norms, 1e-9), c)
+    bucket = (mix(words.hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    counts = np.bincount(bucket * states + near[owner], minlength=BUCKETS * states).reshape(BUCKETS, states).astype(float)
+    share = (counts.sum(axis=0) + 1) / (counts.sum() + states)
+    smooth = counts + 0.5 * share
+    return smooth / smooth.sum(axis=1, keepdims=True)
+
+
+# ---------------------------------------------------------------------------------- passes
+
+_UP = "part int, block long, ids binary, counts binary, shares binary"
+_DOWN = "block long, part int, ids binary, counts binary, shares binary"
+
+
+def _quantised(shares: np.ndarray) -> np.ndarray:
+    return np.rint(shares * FULL).astype(np.uint16)
+
+
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.split(values, cuts)], pa.binary())
+
+
+def _numbers(column: pa.ChunkedArray, kind: type, width: int = 1) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype=kind).reshape(-1, width) if width > 1 else np.frombuffer(x.as_buffer(), dtype=kind) for x in column]
+
+
+def _answer(blocks: np.ndarray, part: int, ids: list[np.ndarray], counts: np.ndarray, shares: np.ndarray) -> pa.Table:
+    """A part's rows to the blocks, and one (block -1) with its totals: words, count, counts by state."""
+    known = counts > 0
+    totals = np.concatenate([[known.sum(), counts.sum()], counts @ shares.astype(np.int64)]).astype(np.int64)
+    n = len(blocks)
+    return pa.table([
+        pa.array(np.append(blocks, -1)), pa.array(np.full(n + 1, part, dtype=np.int32)), pa.array([*(x.tobytes() for x in ids), b""], pa.binary()),
+        pa.array([*(counts[x].tobytes() for x in ids), totals.tobytes()], pa.binary()), pa.array([*(shares[x].tobytes() for x in ids), b""], pa.binary()),
+    ], names=["block", "part", "ids", "counts", "shares"])
+
+
+def _listed(encoded: DataFrame, table: Broadcast) -> DataFrame:
+    """The first answer: words get their numbers, counts and first shares."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        words = rows["words"].combine_chunks()
+        flat = words.values if isinstance(words, pa.ListArray) else pa.chunked_array([c.values for c in words.chunks]).combine_chunks()
+        sizes = np.array([len(x) for x in rows["words"]], dtype=np.int64)
+        found = flat.dictionary_encode()
+        place = found.indices.to_numpy().astype(np.int32)
+        counts = np.zeros(len(found.dictionary), dtype=np.int64)
+        np.add.at(counts, place, np.concatenate(_numbers(rows["counts"], np.int32)))
+        bucket = (mix(_hash(found.dictionary)) % np.uint64(BUCKETS)).astype(np.int64)
+        return _answer(rows["block"].to_numpy(), part, np.split(place, np.cumsum(sizes)[:-1]), counts, _quantised(table.value[bucket]))
+
+    return encoded.select("part", "block", "words", "counts").where("part IS NOT NULL").groupBy("part").applyInArrow(run, _DOWN)
+
+
+def _merged(up: DataFrame, states: int) -> DataFrame:
+    """Counts of all blocks added up: by word for the parts, and those of states (part below 0)."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows["part"][0].as_py()
+        if part < 0:
+            total = np.sort(np.stack(_numbers(rows["counts"], np.float64)), axis=0).sum(axis=0)
+            return pa.table([pa.array([-2], pa.int64()), pa.array([part], pa.int32()), pa.array([b""]), pa.array([total.tobytes()]), pa.array([b""])], names=["block", "part", "ids", "counts", "shares"])
+        ids = _numbers(rows["ids"], np.int32)
+        flat, n = np.concatenate(ids), np.concatenate(_numbers(rows["counts"], np.int32)).astype(np.float64)
+        shares = np.concatenate(_numbers(rows["shares"], np.uint16, states))
+        size = int(flat.max()) + 1 if len(flat) else 0
+        counts = np.bincount(flat, weights=n, minlength=size)
+        found = np.column_stack([np.bincount(flat, weights=n * shares[:, k], minlength=size) for k in range(states)])
+        found /= np.maximum(found.sum(axis=1, keepdims=True), 1e-9)
+        return _answer(rows["block"].to_numpy(), part, ids, counts.astype(np.int64), _quantised(found))
+
+    return up.groupBy("part").applyInArrow(run, _DOWN)
 
-    ``rare`` gives (block, j, id, n, ...) of the words outside the head: first their hashes, then their expected counts.
-    """
 
-    def __init__(self, head: np.ndarray, total: np.ndarray, rare: DataFrame) -> None:
-        self.head, self.total, self.rare = head, total, rare
+class Totals:
+    """V, N and each state's sum of counts."""
+
+    def __init__(self, distinct: int, total: int, by_state: np.ndarray) -> None:
+        self.distinct, self.total, self.by_state = distinct, total, by_state.astype(float)
+        self.whole = total + ADD * (distinct + 1)
+
+    @classmethod
+    def of(cls, down: DataFrame, states: int) -> Totals:
+        """From the parts' answers: one row of numbers a part."""
+        rows = np.zeros(2 + states, dtype=np.int64)
+        for x in down.where("block = -1").select("counts").toArrow()["counts"]:
+            rows += np.frombuffer(x.as_buffer(), dtype=np.int64)
+        return cls(int(rows[0]), int(rows[1]), rows[2:])
 
 
 class Block:
-    """The emissions of one block's classes: the head's, then those of the block's rare words."""
-
-    def __init__(self, found: pa.Table, emit: np.ndarray, total: np.ndarray, whole: float, prior: float) -> None:
-        states = len(total)
-        known = found.filter(found["id"].is_valid())
-        size = int(found["j"].to_numpy().max()) + 1 if found.num_rows else 0
-        at, n = known["j"].to_numpy(), known["n"].to_numpy()
-        unigram = (n + ADD) / whole
-        if "hash" in found.column_names:
-            own = unigram[:, None] * noise(known["hash"].to_numpy(), states)
-        else:
-            own = np.column_stack([known[f"s{k}"].fill_null(0.0).to_numpy() for k in range(states)]).astype(float) + prior * unigram[:, None]
-        rare = np.tile(emit[-2], (size, 1))  # words that no training text has share the class of the unseen
-        rare[at] = own / total
-        self.emit = np.vstack([emit, rare])
-        self.ids = np.full(size, -1, dtype=np.int64)
-        self.ids[at] = known["id"].to_numpy()
-        self.counts = np.zeros(size)
-        self.counts[at] = n
-
-
-def _by_block(rows: DataFrame, rare: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    return rows.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(function, schema)
-
-
-def _expect(sent: Broadcast, whole: float, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Expected counts of one block: rare words by id, the head's classes, first states and transitions by keys below zero."""
-
-    def expect(rows: pa.Table, found: pa.Table) -> pa.Table:
-        start, step, head, total = sent.value
-        classes, states = head.shape
-        block = Block(found, head, total, whole, prior)
-        emissions = np.zeros_like(block.emit)
-        more = np.zeros((states + 1, states))
-        model = Model(start, step, block.emit)
-        for batch, size in by_length(rows.select(["classes"]).combine_chunks().to_batches(), "classes"):
-            for tokens, first, _ in chunks(batch.column(0), size):
-                opened, pairs = expected_counts(Packed(tokens, first), model, emissions)
-                more[0] += opened
-                more[1:] += pairs
-        keys = np.concatenate([-1 - np.arange(classes), block.ids, -1 - np.arange(classes, classes + states + 1)])
-        table = np.vstack([emissions, more]).astype(np.float32)
-        kept = np.flatnonzero(table.any(axis=1))
-        return pa.table([pa.array(keys[kept]), *(pa.array(table[kept, k]) for k in range(states))], names=["c", *(f"s{k}" for k in range(states))])
+    """A block's words: base probabilities, emissions, counts over the corpus, and how they are dealt to parts."""
+
+    def __init__(self, met: pa.Table, totals: Totals) -> None:
+        states = len(totals.by_state)
+        met = met.sort_by("part")
+        ids = _numbers(met["ids"], np.int32)
+        self.parts, self.sizes = met["part"].to_numpy(), np.array([len(x) for x in ids], dtype=np.int64)
+        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        self.counts = np.concatenate(_numbers(met["counts"], np.int64)) if ids else np.empty(0, np.int64)
+        shares = np.concatenate(_numbers(met["shares"], np.uint16, states)) if ids else np.empty((0, states))
+        self.base = (self.counts + ADD) / totals.whole
+        mass = 1 - ADD / totals.whole  # of known words
+        own = self.counts[:, None] * shares / np.maximum(totals.by_state, 1.0)
+        flat = self.counts / max(1, totals.total)
+        empty = totals.by_state <= 0
+        self.emit = mass * np.where(empty, flat[:, None], (1 - MIX) * own + MIX * flat[:, None])
+        self.emit[self.counts == 0] = ADD / totals.whole
+
+
+def _tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    found = [unpack(x.as_buffer()) for x in rows["tokens"]]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+    return np.concatenate(found) if found else np.empty(0, np.int32), first
+
+
+def _opened(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """A block's texts, and for each word of its list the place among the parts' words."""
+    texts = rows.filter(rows["tokens"].is_valid())
+    (dealt,) = _numbers(rows.filter(rows["counts"].is_valid())["counts"], np.int32)
+    place = np.empty(len(dealt), dtype=np.int64)
+    place[dealt] = np.arange(len(dealt))
+    return texts, place
+
+
+def _expect(sent: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """One block's expected counts: a row for each part of the vocabulary, and one of states and transitions."""
+
+    def expect(rows: pa.Table, met: pa.Table) -> pa.Table:
+        start, step, totals = sent.value
+        states, number = len(start), rows["block"][0].as_py()
+        block = Block(met, totals)
+        texts, place = _opened(rows)
+        tokens, first = _tokens(texts)
+        tokens = place[tokens]
+        emissions = np.zeros((len(block.base), states))
+        opened, pairs = expected_counts(tokens, first, Model(start, step, block.emit), emissions)
+        trained = np.bincount(tokens, minlength=len(block.base)).astype(np.int32)
+        shares = _quantised(emissions / np.maximum(emissions.sum(axis=1, keepdims=True), 1e-300))
+        cuts = np.cumsum(block.sizes)[:-1]
+        more = np.concatenate([opened, pairs.ravel()])
+        return pa.table([
+            pa.array(np.append(block.parts, -1 - number % STAT_GROUPS).astype(np.int32)), pa.array(np.full(len(block.parts) + 1, number)),
+            pa.array([*_blobs(block.ids, cuts).to_pylist(), b""], pa.binary()), pa.array([*_blobs(trained, cuts).to_pylist(), more.tobytes()], pa.binary()),
+            pa.array([*_blobs(shares, cuts).to_pylist(), b""], pa.binary()),
+        ], names=["part", "block", "ids", "counts", "shares"])
 
     return expect
 
 
-def learn(training: DataFrame, occurs: DataFrame, start: np.ndarray, step: np.ndarray, first: Emissions, unigram: np.ndarray, whole: float, passes: int, prior: float) -> tuple[np.ndarray, np.ndarray, Emissions]:
-    """Baum-Welch: ``passes`` times expected counts over all training rows, summed by word, then a new model."""
-    states, classes = len(start), len(unigram)
-    spark = training.sparkSession
-    names = [f"s{k}" for k in range(states)]
-    now, before = first, None
-    for _ in range(passes):
-        sent = spark.sparkContext.broadcast((start, step, now.head, now.total))
-
-        counted = _by_block(training, now.rare, _expect(sent, whole, prior), f"c long, {', '.join(f'{n} float' for n in names)}")
-        summed = counted.groupBy("c").agg(*(F.sum(F.col(n).cast("double")).cast("float").alias(n) for n in names)).persist(StorageLevel.DISK_ONLY)
-        table = summed.where("c < 0").toArrow()  # at most one row per class
-        rare = summed.where("c >= 0").agg(*(F.sum(F.col(n).cast("double")).alias(n) for n in names)).first()
-        rows = np.zeros((classes + states + 1, states))
-        rows[-1 - table["c"].to_numpy()] = np.column_stack([table[n].to_numpy() for n in names])
-        emit = rows[:classes] + prior * unigram[:, None]
-        total = rows[:classes].sum(axis=0) + np.array([x or 0.0 for x in rare]) + prior
-        start, step = rows[classes] + 1.0, rows[classes + 1 :] + 1.0
-        start, step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
-        now = Emissions(emit / total, total, occurs.drop("hash").join(summed, F.col("id") == F.col("c"), "left").drop("c"))
-        sent.unpersist()
-        if before is not None:
-            before.unpersist()
-        before = summed
-    return start, step, now
+def _by_block(rows: DataFrame, down: DataFrame, function: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return rows.groupBy("block").cogroup(down.where("block >= 0").groupBy("block")).applyInArrow(function, schema)
+
+
+def _scored(sent: Broadcast, learned: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(rows: pa.Table, met: pa.Table) -> pa.Table:
+        start, step, totals = sent.value
+        block = Block(met, totals)
+        texts, place = _opened(rows)
+        tokens, first = _tokens(texts)
+        tokens = place[tokens]
+        n = texts.num_rows
+        base = np.add.reduceat(np.log10(block.base)[tokens], first[:-1]) if n else np.empty(0)
+        known = np.add.reduceat((block.counts > 0)[tokens].astype(np.int64), first[:-1]) if n else np.empty(0, np.int64)
+        likely = log10_likelihood(tokens, first, Model(start, step, block.emit)) if learned else np.zeros(n)
+        return pa.table([texts["id"], texts["held_out"], pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(likely)], names=["id", "held_out", "n_tokens", "n_known", "base", "likely"])
+
+    return run
 
 
-def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", head_size: int = HEAD, states: int = STATES, passes: int = PASSES, prior: float = PRIOR) -> DataFrame:
+def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row."""
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).alias("text"))
-    training = rows.where("NOT held_out")
-    counts = stored(count_words(training).select("word", "c", F.monotonically_increasing_id().alias("id"), F.xxhash64("word").alias("hash")), "counts")
-    ends = training.count()
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = (sums["n"] or 0) + ends, sums["v"] + (1 if ends else 0)
-    whole = total + ADD * (distinct + 1)
-    head = head_words(counts, head_size)
-    size = len(head)
-    known = np.array([c for _, c, _ in head], dtype=float)
-    unigram = np.concatenate([known + ADD, [ADD, ends + ADD]]) / whole  # the head, any unseen word, the end
-    words = spark.sparkContext.broadcast(Head([w for w, _, _ in head]))
-    encoded = stored(encode(rows, words), "classes")
-    listed = encoded.where("rare IS NOT NULL").select("block", F.posexplode("rare").alias("j", "word"))
-    occurs = stored(listed.join(counts, "word", "left").select("block", "j", "id", F.col("c").alias("n"), "hash"), "occurs")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part = (batch.column(0).to_numpy() + ADD) / whole @ noise(batch.column(1).to_numpy(), states)
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in part], names=[f"s{k}" for k in range(states)])
-
-    names = [f"s{k}" for k in range(states)]
-    every = counts.select("c", "hash").mapInArrow(spread, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
-    emit = unigram[:, None] * noise(np.array([h for _, _, h in head] + [1, 2], dtype=np.int64), states)
-    sum_all = np.array([x or 0.0 for x in every]) + emit[-2:].sum(axis=0)
+    size = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // PART_BYTES))
+    encoded = stored(encode(rows, parts), "blocks")
+    texts = encoded.where("part IS NULL").select("block", "id", "held_out", "tokens", "counts")
+    training = texts.where("held_out IS NULL OR NOT held_out")
+
+    hashed = F.xxhash64("id", "text")
+    drawn = F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(1, size["n"])))
+    sample = rows.where("NOT held_out").where((F.octet_length("text") <= SAMPLE_BYTES) & drawn).orderBy(hashed, "text").limit(SAMPLE).select("text").toArrow()
+    table = spark.sparkContext.broadcast(first_shares(sample["text"].to_pylist(), states))
+    down = stored(_listed(encoded, table), "words")
+    totals = Totals.of(down, states)
     start, step = first_steps(states)
-    found = Emissions(emit / sum_all, sum_all, occurs)
-    if ends:
-        start, step, found = learn(encoded.where("NOT held_out").select("block", "classes"), occurs, start, step, found, unigram, whole, passes, prior)
-    log_head = np.log10(unigram)
-    sent = spark.sparkContext.broadcast((start, step, found.head, found.total, log_head))
-
-    def run(rows: pa.Table, met: pa.Table) -> pa.Table:
-        start, step, head, total, log_head = sent.value
-        block = Block(met, head, total, whole, prior)
-        model = Model(start, step, block.emit)
-        logs = np.concatenate([log_head, np.log10((block.counts + ADD) / whole)])
-        new = np.concatenate([np.zeros(size + 2, dtype=np.int64), block.ids < 0])
-        if not ends:  # the end is then one of the unseen words, and they are all there is
-            logs[:], new[size + 1] = 0.0, 1
-        fields = pa.schema([("id", rows.schema.field("id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("likely", pa.float64())])
-        out = [pa.table([pa.array([], f.type) for f in fields], schema=fields)]
-        for batch, piece in by_length(rows.combine_chunks().to_batches(), "classes"):
-            n = batch.num_rows
-            likely, base, sizes, unseen = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            for tokens, first, own in chunks(batch.column("classes"), piece):
-                likely[own] = log10_likelihood(Packed(tokens, first), model) if ends else 0.0
-                base[own] = np.add.reduceat(logs[tokens], first[:-1])
-                unseen[own] = np.add.reduceat(new[tokens], first[:-1])
-                sizes[own] = np.diff(first)
-            columns = [batch.column("id"), batch.column("held_out"), pa.array(sizes), pa.array(sizes - unseen), pa.array(base), pa.array(likely)]
-            out.append(pa.Table.from_arrays(columns, schema=fields))
-        return pa.concat_tables(out)
-
+    for _ in range(passes if totals.total else 0):
+        sent = spark.sparkContext.broadcast((start, step, totals))
+        up = _by_block(training, down, _expect(sent), _UP)
+        before, down = down, stored(_merged(up, states), "pass")
+        found = down.where("block = -2").select("counts").toArrow()["counts"]  # at most STAT_GROUPS rows
+        more = np.sort([np.frombuffer(x.as_buffer(), dtype=np.float64) for x in found], axis=0).sum(axis=0)
+        start, step = more[:states] + 1.0, more[states:].reshape(states, states) + 1.0
+        start, step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
+        totals = Totals.of(down, states)
+        del up
+        discard(before)
+    sent = spark.sparkContext.broadcast((start, step, totals))
     kind = rows.schema["id"].dataType.simpleString()
-    scored = _by_block(encoded.select("block", "id", "held_out", "classes"), found.rare, run, f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, likely double")
-    return scored.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("likely").alias("score"))
+    scored = _by_block(texts, down, _scored(sent, totals.total > 0), f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, likely double")
+    return scored.select(F.col("id").alias(key), "held_out", "n_tokens", "n_known", F.lit(totals.total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("likely").alias("score"))

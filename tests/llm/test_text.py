@@ -182,17 +182,18 @@ def _enumerated(model, tokens):
     return math.log10(total)
 
 
-def test_forward_and_expected_counts_are_exact():
+@pytest.mark.parametrize("segment", [1, 2, 3, 100])
+def test_forward_and_expected_counts_are_exact(segment):
+    """Against all state paths, with texts whole and cut into segments."""
     rng = np.random.default_rng(1)
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
     model = lm.Model(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
     texts = [[0, 4], [1, 2, 3, 4, 0, 2, 4], [4], [3, 3, 1, 4]]
     first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     flat = np.concatenate(texts).astype(np.int32)
-    p = lm.Packed(flat, first)
-    assert np.allclose(lm.log10_likelihood(p, model), [_enumerated(model, t) for t in texts])
+    assert np.allclose(lm.log10_likelihood(flat, first, model, segment, 5), [_enumerated(model, t) for t in texts])
     emissions = np.zeros((5, 3))
-    opened, pairs = lm.expected_counts(p, model, emissions)
+    opened, pairs = lm.expected_counts(flat, first, model, emissions, segment, 5)
     want_e, want_p, want_o = np.zeros((5, 3)), np.zeros((3, 3)), np.zeros(3)
     for t in texts:
         whole = 10 ** _enumerated(model, t)
@@ -209,30 +210,52 @@ def test_forward_and_expected_counts_are_exact():
     assert np.allclose(emissions, want_e) and np.allclose(pairs, want_p) and np.allclose(opened, want_o)
 
 
-@pytest.mark.parametrize("head", [1 << 17, 5])
-def test_base_scores_and_held_out_gain(spark, head):
-    rng = random.Random(3)
-    rows = C.texts() + [(100 + i, " ".join(f"{'xy'[i % 2]}{rng.randrange(40)}" for _ in range(60))) for i in range(120)]
-    got = lm.score_table(C.table(spark, rows).repartition(3), head_size=head, states=4).collect()
+def test_token_numbers_survive_packing():
+    rng = np.random.default_rng(0)
+    for values in (np.empty(0, int), np.array([0, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1, 1 << 28]), rng.integers(0, 1 << 20, 1000)):
+        assert lm.unpack(lm.pack(values)).tolist() == values.tolist()
+
+
+def _two_topics(seed):
+    rng = random.Random(seed)
+    return C.texts() + [(100 + i, " ".join(f"{'xy'[i % 2]}{rng.randrange(40)}" for _ in range(60))) for i in range(120)]
+
+
+def test_base_scores_and_held_out_gain(spark):
+    rows = _two_topics(3)
+    got = lm.score_table(C.table(spark, rows).repartition(3), states=4).collect()
     texts = [C.split(t, lower=True) + ["end"] for _, t in rows]
     out = [C.bucket(i, 10) == 0 for i, _ in rows]
     c = Counter(w for t, o in zip(texts, out) if not o for w in t)
     total, distinct = sum(c.values()), len(c)
     want = [(i, o, len(t), sum(w in c for w in t), total, round(sum(math.log10((c[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t), 6)) for (i, _), t, o in zip(rows, texts, out)]
     assert _sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == _sorted(want)
-    if head > 5:
-        held = [r for r in got if r["held_out"] and (r["doc_id"] or 0) >= 100]
-        assert held and sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    held = [r for r in got if r["held_out"] and (r["doc_id"] or 0) >= 100]
+    assert len(held) > 5 and all(r["score"] > r["base_score"] for r in held)
     assert all(r["score"] <= 0 for r in got)
 
 
-def test_scores_do_not_depend_on_the_size_of_the_head(spark):
-    rng = random.Random(4)
-    rows = C.texts() + [(100 + i, " ".join(f"{'xy'[i % 2]}{rng.randrange(40)}" for _ in range(60))) for i in range(120)]
-    docs = C.table(spark, rows).repartition(3).localCheckpoint()
-    found = [_sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 3)) for r in lm.score_table(docs, head_size=h, states=4).collect()) for h in (1 << 17, 5)]
+def test_scores_do_not_depend_on_blocks_and_parts(spark, monkeypatch):
+    """One block and one part of the vocabulary give what many blocks, many parts and short segments give."""
+    docs = C.table(spark, _two_topics(4)).repartition(2).checkpoint()
+    found = []
+    for block, part, slice_bytes, segment in ((16 << 20, 64 << 20, 2 << 20, 2048), (2000, 500, 700, 16)):
+        for name, value in (("BLOCK_BYTES", block), ("PART_BYTES", part), ("SLICE_BYTES", slice_bytes), ("SEGMENT", segment)):
+            monkeypatch.setattr(lm, name, value)
+        rows = lm.score_table(docs, states=4).collect()
+        found.append(_sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 3)) for r in rows))
     for a, b in zip(*found):
-        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=0.002)
+        assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=2e-3)
+
+
+def test_states_are_distributions_over_the_base_words():
+    """Emissions of every state sum to one over the known words and one unseen word."""
+    counts = np.array([5, 3, 0, 1, 90], dtype=np.int64)
+    shares = np.array([[65535, 0], [30000, 35535], [1, 2], [0, 65535], [40000, 25535]], dtype=np.uint16)
+    totals = lm.Totals(int((counts > 0).sum()), int(counts.sum()), counts @ shares.astype(np.int64))
+    met = pa.table([pa.array([7]), pa.array([0], pa.int32()), pa.array([np.arange(5, dtype=np.int32).tobytes()]), pa.array([counts.tobytes()]), pa.array([shares.tobytes()])], names=["block", "part", "ids", "counts", "shares"])
+    block = lm.Block(met, totals)
+    assert np.allclose(block.emit.sum(axis=0), 1.0) and np.allclose(block.base.sum(), 1.0) and np.allclose(block.emit[2], block.base[2])
 
 
 def test_scores_without_training_rows(spark):
