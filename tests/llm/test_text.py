@@ -324,42 +324,83 @@ def test_quality_without_labels_or_rows(spark):
 # ------------------------------------------------------------------------------ mixing
 
 
-def test_schedule_keeps_every_source_within_one_block():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {chr(97 + i): 1 / (i + 1) for i in range(15)}, {"a": 0.0, "b": 1.0}):
-        parts = mixing.whole_parts(weights, 100)
-        assert sum(parts.values()) == max(100, 2 * len(weights)) and min(parts.values()) >= 1
-        total, done = sum(parts.values()), Counter()
-        for k, j, slot, release, deadline in mixing.schedule(parts):
-            assert release <= slot < deadline and j == done[k]
+def _simple_edf(weights, counts):
+    """Slot by slot, looking at every source: the released block of earliest deadline, then of least name."""
+    done, out, t = dict.fromkeys(weights, 0), {}, 0
+    while any(done[k] < counts[k] for k in weights):
+        open_ = [(math.ceil((done[k] + 1) / weights[k]), k) for k in weights if done[k] < counts[k] and math.floor(done[k] / weights[k]) <= t]
+        if open_:
+            due, k = min(open_)
+            out[k, done[k]] = (t, math.floor(done[k] / weights[k]), due)
             done[k] += 1
-            assert all(abs(done[s] - (slot + 1) * n / total) < 1 for s, n in parts.items())
-        assert done == parts
+        t += 1
+    return out
+
+
+@pytest.mark.parametrize("raw", [
+    {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {chr(97 + i): 1 / (i + 1) for i in range(15)}, {"a": 0.12345, "b": 0.6543, "c": 0.22225}, {"a": 0.0007, "b": 0.9993},
+])
+def test_schedule_is_earliest_deadline_first_by_the_exact_weights(raw):
+    weights = mixing.shares(raw)
+    assert sum(weights.values()) == 1
+    counts = {k: max(2, int(2000 * w)) for k, w in weights.items()}
+    got = {(k, j): (t, r, d) for k, j, t, r, d in mixing.schedule(weights, counts)}
+    assert got == _simple_edf(weights, counts)
+
+
+def test_deviation_stays_below_one_block_for_a_million_slots():
+    weights = mixing.shares({"a": 0.12345, "b": 0.6543, "c": 0.22225, "d": 0.0001})
+    n = 1_000_000
+    order = np.full(n, -1)
+    names = sorted(weights)
+    for k, j, t, r, d in mixing.schedule(weights, {k: math.ceil(n * w) + 1 for k, w in weights.items()}):
+        if t < n:
+            order[t] = names.index(k)
+            assert r <= t < d
+    assert (order >= 0).all()
+    for i, k in enumerate(names):
+        assert np.abs(np.cumsum(order == i) - np.arange(1, n + 1) * float(weights[k])).max() < 1
 
 
 def test_mixing_places_every_row(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(C.words(rng, rng.randrange(0, 40)))) for i in range(300)] + C.texts()
     docs = C.table(spark, rows)
-    got = mixing.mix_sources(docs, block_bytes=256, quantum=20).collect()
-    assert len(got) == len(rows) and _sorted((r["doc_id"], r["text"]) for r in got) == _sorted(rows)
-    sources = {r["source"] for r in got}
-    assert None in sources
-    total = {s: sum(r["n_bytes"] for r in got if r["source"] == s) for s in sources}
-    parts = mixing.whole_parts({("null" if s is None else f"={s}"): total[s] ** 0.7 for s in sources}, 20)
-    plan = {(k, j): (t, r, d) for k, j, t, r, d in mixing.schedule(parts)}
-    for s in sources:
-        own = sorted((r for r in got if r["source"] == s), key=lambda r: (r["slot"], r["offset"]))
-        name, at = "null" if s is None else f"={s}", 0
-        for r in sorted(own, key=lambda r: (r["block"], r["offset"], r["n_bytes"])):
-            assert r["block"] == at // 256 and r["offset"] == at % 256
-            slot, release, deadline = (v + r["block"] // parts[name] * 20 for v in plan[name, r["block"] % parts[name]])
-            assert (r["slot"], r["release"], r["deadline"]) == (slot, release, deadline)
-            at += r["n_bytes"]
-    weighted = mixing.mix_sources(docs, {"s1": 3.0, None: 1.0}, block_bytes=256, quantum=20)
-    assert weighted.count() == len(rows) and weighted.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c not in mixing.ADDED]
+    for weights in (None, {"s1": 3.0, None: 1.0}):
+        got = mixing.mix_sources(docs, weights, block_bytes=256).collect()
+        assert len(got) == len(rows) and _sorted((r["doc_id"], r["text"]) for r in got) == _sorted(rows)
+        sources = {r["source"] for r in got}
+        assert None in sources
+        total = {s: sum(r["n_bytes"] for r in got if r["source"] == s) for s in sources}
+        target = {mixing.source_name(s): (total[s] ** 0.7 if weights is None else weights.get(s, 0.0)) for s in sources}
+        chosen = mixing.shares(target)
+        counts = {mixing.source_name(s): max(1, -(-total[s] // 256)) for s in sources}
+        want = _simple_edf(chosen, counts)
+        ends = min(max(t for (k, _), (t, _, _) in want.items() if k == c) for c in chosen)
+        begin = 1 + max(t for t, _, _ in want.values())
+        rest = mixing.shares({mixing.source_name(s): total[s] ** 0.7 for s in sources if mixing.source_name(s) not in chosen})
+        want |= {k: tuple(begin + v for v in x) for k, x in _simple_edf(rest, counts).items()}
+        for s in sources:
+            name, at = mixing.source_name(s), 0
+            for r in sorted((r for r in got if r["source"] == s), key=lambda r: (r["block"], r["offset"], r["n_bytes"])):
+                block = min(at // 256, counts[name] - 1)
+                assert (r["block"], r["offset"]) == (block, at - 256 * block)
+                assert (r["slot"], r["release"], r["deadline"]) == want[name, block] and r["on_target"] == (r["slot"] <= ends)
+                at += r["n_bytes"]
+    assert mixing.mix_sources(docs).columns == [c for c in docs.columns if c not in mixing.ADDED] + list(mixing.ADDED)
     assert mixing.mix_sources(C.empty(spark)).count() == 0
 
 
+def test_mixing_of_odd_sources_and_a_long_schedule(spark, monkeypatch):
+    """Sources with commas, quotes and line ends; a schedule too long to broadcast; ids that are no numbers; clashing names."""
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    rows = [(f"id-{i}", "x" * (7 * i % 50), f'a,"{i % 3}\n', 1, "old") for i in range(60)] + [(None, None, None, 2, None), ("z", "y" * 1000, "", 3, "old")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string, __k int, slot string")
+    got = mixing.mix_sources(docs, block_bytes=64).collect()
+    assert _sorted((r["doc_id"], r["text"], r["source"], r["__k"]) for r in got) == _sorted(r[:4] for r in rows)
+    assert len({(r["slot"], r["offset"]) for r in got if r["n_bytes"]}) == sum(bool(r["n_bytes"]) for r in got)
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mix_sources(C.table(spark, C.texts()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
