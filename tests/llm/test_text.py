@@ -4,6 +4,8 @@ import hashlib
 import json
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 from itertools import product
@@ -119,6 +121,64 @@ def test_literals_that_reach_beyond_a_base_span():
     assert [k for k, _, _ in secrets.find_spans(held)] == ["literal", "hex"] and secrets.redact(held) == 'db_credential = "[REDACTED]"'
 
 
+def _literals(text):
+    return sorted({text[a:b] for k, a, b in secrets.find_spans(text) if k == "literal"})
+
+
+@pytest.mark.parametrize("text,want", [
+    ('client_secret_key = "ab1" + "cd2" + "ef3" + "gh4K"', ["ab1", "cd2", "ef3", "gh4K"]),
+    ('db_secret_value = (\n  "ab1Xy"\n  "cd2QQ9z"\n)\nnext_one = 1', ["ab1Xy", "cd2QQ9z"]),
+    ("auth:\n  private_key: |\n    MIIEvq9z0Kd83jf02\n    aa8Kd0zPq\n  other: 5\n", ["MIIEvq9z0Kd83jf02", "aa8Kd0zPq"]),
+    ("<config><pass>xK93jd02Lq</pass><name>aK93jd02Lq</name></config>", ["xK93jd02Lq"]),
+    ('setPassword("xK93jd02Lq!"); m.put("client_credential", "Zq81kQp0Lm"); print("aK93jd02Lq")', ["Zq81kQp0Lm", "xK93jd02Lq!"]),
+    ('a1 = "aK93jd02Lq"\nsession_credential = a1\na1 = "zz93jd02Lq"\n', ["aK93jd02Lq"]),
+    ('os.environ["APP_CREDENTIAL"] = "aK93jd02Lq"', ["aK93jd02Lq"]),
+    ("export APP_CREDENTIAL=aK93jd02Lq!", ["aK93jd02Lq!"]),
+    ('db_credential = os.getenv("aK93jd02Lq")', []),
+])
+def test_syntax_of_assignments(text, want):
+    assert _literals(text) == want
+
+
+def test_base_spans_of_random_texts_follow_the_patterns():
+    """The contract's patterns, searched one kind at a time from every position."""
+    rng = random.Random(12)
+    bits = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api__key", '"', "'", " ", "  ", ":", "=", "\n", "\t", "AKIA", "ABCDEFGHIJKLMNOP", "Q0", "deadbeef", "0123456789abcdef", "f", "aB+/_.=-9", "xyz12", "é", "ſecret", "K"]
+    assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    patterns = {"assign": assign, "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
+    least = {"assign": lambda m: len(m[1]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    seen = Counter()
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
+        want = []
+        for kind, pattern in patterns.items():
+            at = 0
+            while at < len(text):
+                m = pattern.match(text, at)
+                if m and least[kind](m):
+                    want.append((kind, m.start(), m.end()))
+                at = m.end() if m else at + 1
+        got = [s for s in secrets.find_spans(text) if s[0] != "literal"]
+        assert got == sorted(want, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+        seen.update(k for k, _, _ in got)
+    assert min(seen[k] for k in patterns) > 10
+
+
+_HOSTILE = {
+    "chain": 'token = key\nkey = "a9Bc81kd"\n' * 30000, "doubling": "".join(f"k{i} = k{i + 1} + k{i + 1}\n" for i in range(20000)) + 'k20000="a9Bc"\nsecret_x = k0\n', "escapes": 'password \\"' * 90000,
+    "quotes": 'secret = "\\"' * 80000, "open": "token=(" * 140000, "spaces": "token" + " " * 1000000 + "x", "markup": "<secret " * 120000, "sums": "secret_key = " + '"ab" + ' * 140000 + '"x"',
+    "blocks": "".join(" " * (i % 50) + "secret: |\n" for i in range(30000)), "dots": "token." * 170000, "three": 'token="""' * 110000, "elements": "<pass>a" * 140000, "lines": "token = \n" * 110000, "brackets": "secret = " + "(" * 1000000,
+}
+
+
+@pytest.mark.parametrize("name", _HOSTILE)
+def test_hostile_texts_of_a_megabyte_end_soon(name):
+    text = _HOSTILE[name]
+    start = time.process_time()
+    secrets.find_spans(text)
+    assert time.process_time() - start < 15  # a few seconds on an idle machine; quadratic scans take minutes
+
+
 def test_scan_and_redaction(spark):
     rows = C.texts() + [(40, 'x token = "0123456789abcdef01234567" y')]
     docs = C.table(spark, rows)
