@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm import corpus as C
-from scanloom.llm import common, counts, extraction, lm, media, mixing, quality, secrets
+from scanloom.llm import chains, common, counts, extraction, lm, media, mixing, quality, queries, secrets
 
 
 def _sorted(rows):
@@ -148,7 +149,7 @@ def test_base_spans_of_random_texts_follow_the_patterns():
     patterns = {"assign": assign, "access": re.compile("AKIA[A-Z0-9]+"), "hex": re.compile("[0-9a-f]+")}
     least = {"assign": lambda m: len(m[1]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
     seen = Counter()
-    for _ in range(400):
+    for _ in range(1500):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
         want = []
         for kind, pattern in patterns.items():
@@ -228,6 +229,58 @@ def test_extraction(spark):
     assert extraction.main_text(pages.limit(0), ["page_id", "url"]).count() == 0
 
 
+PLAIN = """<html><body><div>We use cookies to improve your visit. Accept all or manage settings.</div><div><h1>A title</h1>
+<p>The first paragraph of this article says a lot of things, and it goes on for a while. Then it ends.</p>
+<p>The second paragraph is also long enough, with commas, and more than one sentence. Yes.</p></div>
+<div>Read next: Ten other things that you should know about this.</div><div>Bob says: I totally agree with what is written here!</div>
+<div>&copy; 2020 Someone, all rights reserved.</div></body></html>"""
+
+
+def test_boilerplate_in_plain_elements():
+    assert extraction.extract(PLAIN).split("\n") == ["A title", "The first paragraph of this article says a lot of things, and it goes on for a while. Then it ends.", "The second paragraph is also long enough, with commas, and more than one sentence. Yes."]
+
+
+def _generated_page(rng):
+    """A page with its main text."""
+    say = lambda n: " ".join(C.words(rng, n, 300)).capitalize() + "."
+    title, body = say(5), [" ".join(say(rng.randrange(6, 14)) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(2, 9))]
+    around = lambda: "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in C.words(rng, 6))
+    cell = rng.choice(("article", "main", "div class=content", "section id='main-text'"))
+    extra = rng.choice((f"<div class='ad'>{say(9)}</div>", f"<aside>{say(20)}</aside>", f"<section id=comments><p>{say(15)}</p></section>", f"<form>{say(8)}<input></form>", ""))
+    marked = "".join(f"<p>{p}{rng.choice(('</p>', '', chr(10)))}" for p in body)
+    page = f"<html><head><title>{title}</title></head><body><nav><ul>{around()}</ul></nav><{cell}><h1>{title}</h1>{marked}</{cell.split()[0]}>{extra}<footer>&copy; {say(6)}</footer></body></html>"
+    return page, "\n".join([title, *body])
+
+
+def test_query_on_pages_of_known_text(spark, tmp_path):
+    rng = random.Random(17)
+    made = [_generated_page(rng) for _ in range(80)] + [("", ""), (None, "")]
+    spark.createDataFrame([(i, f"u{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op4_html_extraction(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got) == [(i, f"u{i}", t, len(t)) for i, (_, t) in enumerate(made)]
+
+
+def test_weights_are_learned_from_plain_roles():
+    rng = random.Random(3)
+    prior = np.array(list(extraction.PRIOR.values()))
+    assert (extraction.fit([]) == prior).all() and (extraction.fit(["<p>no roles here</p>"]) == prior).all()
+    weights = extraction.fit([_generated_page(rng)[0] for _ in range(30)])
+    assert weights.shape == prior.shape and not np.allclose(weights, prior)
+
+
+_HOSTILE_PAGES = {
+    "tags": "<a " * 350_000, "signs": "<" * 1_000_000, "quotes": '<a b="' * 160_000, "deep": "<div>x" * 160_000, "closes": "<div>" * 50_000 + "</p>x</section>" * 50_000, "comments": "<!--" * 250_000,
+    "hidden": "<span hidden>x" * 70_000, "scripts": "<script>a</script " * 60_000, "odd": "<a '>" * 200_000, "lists": "<ul><li>" * 100_000 + "x", "undecided": "".join(f"<div><p>{'aaa bb' if i % 3 else 'aaa bbb ccc ddd eee fff ggg hhh.'}</p>" for i in range(25_000)),
+}
+
+
+@pytest.mark.parametrize("name", _HOSTILE_PAGES)
+def test_hostile_pages_of_a_megabyte_end_soon(name):
+    start = time.process_time()
+    extraction.extract(_HOSTILE_PAGES[name])
+    assert time.process_time() - start < 15
+
+
 # ------------------------------------------------------------------------------ scoring
 
 
@@ -301,7 +354,7 @@ def test_scores_do_not_depend_on_blocks_and_parts(spark, monkeypatch):
     found = []
     for block, part, slice_bytes, segment in ((16 << 20, 64 << 20, 2 << 20, 2048), (2000, 500, 700, 16)):
         for name, value in (("BLOCK_BYTES", block), ("PART_BYTES", part), ("SLICE_BYTES", slice_bytes), ("SEGMENT", segment)):
-            monkeypatch.setattr(lm, name, value)
+            monkeypatch.setattr(chains if name == "SEGMENT" else lm, name, value)
         rows = lm.score_table(docs, states=4).collect()
         found.append(_sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4), round(r["score"], 3)) for r in rows))
     for a, b in zip(*found):
@@ -348,6 +401,51 @@ def test_marginals_are_exact():
     assert np.allclose(chain.marginals, want) and np.allclose(chain.pairs, pairs)
 
 
+def test_line_odds_are_features_times_weights_in_any_pieces(monkeypatch):
+    texts = pa.array([t for _, t in C.texts()] + ["a\nb\n\n c", "last", "first line\n" * 30, "no end", "\n\n"], pa.large_string())
+    weights = np.random.default_rng(2).normal(size=quality.FEATURES)
+    lines = quality.lines_of(texts)
+    want = [[x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")] for t in texts.to_pylist()]
+    assert np.diff(lines.first).tolist() == [len(w) for w in want]
+    whole = quality.line_odds(lines, weights)
+    assert np.allclose(whole, quality.features(lines).astype(float) @ weights, atol=1e-3)
+    alone = np.concatenate([quality.line_odds(quality.lines_of(texts.slice(i, 1)), weights) for i in range(len(texts))])
+    assert np.allclose(whole, alone)
+    monkeypatch.setattr(quality, "PIECE", 40)
+    monkeypatch.setattr(quality, "PIECE_LINES", 2)
+    assert np.allclose(quality.line_odds(lines, weights), whole)
+
+
+def test_a_long_chain_equals_the_plain_recursion(monkeypatch):
+    rng = np.random.default_rng(5)
+    odds, links, opening = rng.normal(size=400), rng.normal(size=(2, 2)), rng.normal(size=2)
+    first = np.array([0, 1, 390, 400])
+    whole = quality.forward_backward(odds, first, links, opening)
+    monkeypatch.setattr(chains, "SEGMENT", 7)
+    cut = quality.forward_backward(odds, first, links, opening)
+    assert np.allclose(whole.marginals, cut.marginals) and np.allclose(whole.pairs, cut.pairs) and np.allclose(whole.openings, cut.openings)
+
+
+@pytest.mark.parametrize("text", ["a\n" * 500_000, "x" * 1_000_000, "word " * 200_000, "\n" * 1_000_000])
+def test_quality_of_a_megabyte_ends_soon_in_bounded_memory(text):
+    model = quality.Model(np.zeros(quality.FEATURES), 0.5, np.zeros((2, 2)), np.zeros(2), 0.5)
+    column = pa.array([text], pa.large_string())
+    quality.scores(column, model)
+    start, tracing = time.process_time(), tracemalloc.start()
+    assert tracing is None and 0 <= quality.scores(column, model)[0] <= 1
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 300 << 20 and time.process_time() - start < 15
+
+
+def test_a_chosen_id_repeated_many_times_stays_a_bounded_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append(len(texts)))
+    free = next(i for i in range(100) if C.bucket(i, 5) != 0)
+    quality.train(spark.createDataFrame([(free, f"text {i}", 7) for i in range(300)], "doc_id long, text string, k int"), spark.createDataFrame([(free, 1), (free, 1)], "doc_id long, quality int"), sample=50)
+    assert seen == [50]
+
+
 def _labelled(n, rng):
     rows, labels = [], []
     for i in range(n):
