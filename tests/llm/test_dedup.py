@@ -109,12 +109,12 @@ def _items(rows):
     ]
 
 
-@pytest.mark.parametrize("limit", [200_000, 0])
+@pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_contamination_matches_brute_force(spark, limit):
     rows = C.texts()
     items = _items(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(C.table(spark, rows).repartition(3), bench, broadcast_windows=limit).collect()
+    got = decontamination.contamination(C.table(spark, rows).repartition(3), bench, broadcast_bytes=limit).collect()
     want = C.leaked(rows, items)
     assert _sorted((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got) == _sorted((i, *w) for (i, _), w in zip(rows, want))
     assert all(r["n_items"] == len(r["items"]) for r in got) and any(w[1] for w in want)
