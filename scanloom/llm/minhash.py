@@ -17,7 +17,9 @@ one with probability 4e-8, so that chance buckets stay rare in large corpora.
 
 Defined results: null text or text without words has an empty set, links with nothing and is its own component;
 fewer words than a shingle give the whole sequence as one shingle; rows with the same id are one node; a
-null id links as any other, and gets the least non-null id of its component or null; an empty table gives an empty result.
+null id links as any other, and gets the least non-null id of its component or null; ids may be whole numbers or text, and are
+then ordered as such; very long texts are read whole, in memory of some sixty bytes a word; a similarity of just ``percent`` links, and equal
+least values of a bin are one value; columns of other names are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import cut, stored
+from scanloom.llm.common import KEY, cut, keyed, stored
 from scanloom.llm.tokens import grams, mix, slices, split_words
 from scanloom.operators.components import sized_components
 
@@ -228,7 +230,8 @@ def _across(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row; see the module's description."""
-    spark = df.sparkSession
+    if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return _named(df, key, text, shingle, percent, bands, rows)
     content = F.coalesce(F.col(text), F.lit(""))
     surrogate = F.lit(_NULL_BASE) + F.shiftrightunsigned(F.xxhash64(content), 3)
     source = df.select(F.coalesce(F.col(key).cast("long"), surrogate).alias("id"), content.alias("text"))
@@ -259,3 +262,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     out = rep.join(labels.withColumnRenamed("id", "node"), F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("c"))
     real = lambda c: F.when(F.col(c) < _NULL_BASE, F.col(c))
     return out.select(real("id").alias(key), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("id") == F.col("c")).alias("kept"))
+
+
+def _named(df: DataFrame, key: str, text: str, *settings: int) -> DataFrame:
+    """``near_duplicates`` of a table whose ids are no whole numbers: by numbers in their stead."""
+    told = df.select(F.col(key).alias("name"), F.col(text).alias("text"))
+    numbered = keyed(told.where("name IS NOT NULL"), "name").unionByName(told.where("name IS NULL").withColumn(KEY, F.lit(None).cast("long")))
+    found = cut(near_duplicates(numbered, KEY, "text", *settings))
+    names = numbered.where(F.col(KEY).isNotNull()).select(F.col(KEY).alias("n"), "name").distinct()
+    mine = found.join(names, F.col(KEY) == F.col("n"), "left").drop("n")
+    least = mine.where("name IS NOT NULL").groupBy(F.col("component_id").alias("c")).agg(F.min("name").alias("least"))
+    out = mine.join(least, F.col("component_id") == F.col("c"), "left")
+    kept = F.coalesce(F.col("name") == F.col("least"), F.col("kept"))
+    return out.select(F.col("name").alias(key), "n_shingles", F.col("least").alias("component_id"), kept.alias("kept"))

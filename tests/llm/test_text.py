@@ -593,6 +593,44 @@ def test_only_contaminated_rows_go(spark, tmp_path):
     assert _sorted((r["doc_id"], r["text"]) for r in kept.collect()) == _sorted([(None, clean), (None, None), (7, clean), (7, clean), (8, clean)])
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, tmp_path):
+    """Null ids, ids that several rows share, equal texts in two sources, repeated rows; against pairs of all rows."""
+    rng = random.Random(31)
+    a, b = C.words(rng, 60, 9000), C.words(rng, 60, 9000)
+    near = [*a[:30], "other", *a[31:]]
+    rows = [
+        (None, " ".join(a), "s1"), (None, " ".join(near), "s1"), (5, " ".join(a), "s2"), (5, " ".join(b), "s2"), (5, "alone one two three four five", "s1"), (4, " ".join(near), "s3"), (None, "only here six seven eight nine", "s1"),
+        (9, " ".join(b), "s1"), (9, " ".join(b), "s0"), (None, None, "s1"), (7, "", "s1"), (7, None, "s2"), (11, "x y", "s1"), (12, "X Y", "s1"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t), n) for n, (i, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, k int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), str(tmp_path))
+    assert kept.columns == docs.columns
+    got = _sorted((r["doc_id"], r["text"], r["source"]) for r in kept.collect())
+    want = {(4, " ".join(near), "s3"), (5, " ".join(b), "s2"), (5, "alone one two three four five", "s1"), (None, "only here six seven eight nine", "s1"), (None, None, "s1"), (7, "", "s1"), (7, None, "s2"), (11, "x y", "s1")}
+    assert got == _sorted(want)
+
+
+def test_keys_of_different_rows_differ(spark, monkeypatch):
+    """Even where the first hash is the same for all."""
+    monkeypatch.setattr(common, "row_key", lambda *columns: F.lit(7).cast("long"))
+    rows = [(i % 4, f"t{i % 3}") for i in range(40)] + [(None, None), (None, "t0"), (0, None)]
+    docs = spark.createDataFrame(rows, "a int, b string")
+    for limit in (1000, 0):
+        monkeypatch.setattr(common, "BROADCAST_KEYS", limit)
+        found = common.keyed(docs, "a", "b").collect()
+        assert len(found) == len(rows) and len({r[common.KEY] for r in found}) == len(set(rows)) == len({tuple(r) for r in found})
+
+
+def test_near_duplicates_of_ids_that_are_text(spark):
+    from scanloom.llm import minhash
+
+    rows = C.texts()
+    docs = C.table(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    got = minhash.near_duplicates(docs, shingle=2).collect()
+    name = lambda i: None if i is None else f"d{i:03d}"
+    assert _sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == _sorted((name(i), n, name(c)) for (i, _), (n, c) in zip(rows, C.near_components(rows, 2)))
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     folder = str(tmp_path)
     rows, items = _folder(spark, folder)
