@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``. ``run`` writes
 each result as Parquet in the shared folder and reads it back as the next stage's input. The last stage adds the
-training order (slot, offset) to every document. Rows with the same id count as one document in near-dedup, and rows without
-an id always stay there; the other stages judge each row by its own text.
+training order (slot, offset) to every document. Every stage judges each row by its own id and text, so that rows without an id and
+rows that share one are documents of their own; repeated rows with the same id and text count as one in near-dedup.
+
+Defined results: null and empty texts score as quality does, have no duplicates, windows or secrets, and stay; texts of any length
+are read whole; ties go as each operator says; an empty table passes through; other columns, whatever their names, are kept up to the last
+stage, which replaces those of the names it adds.
 """
 
 from __future__ import annotations
@@ -23,28 +27,34 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each near-duplicate component (five-word shingles, similarity 0.8)."""
-    found = minhash.near_duplicates(docs)
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(common.KEY)).distinct().hint("shuffle_hash")
-    return _one_each(docs.join(gone, docs["doc_id"] == F.col(common.KEY), "left_anti"))
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    """Of rows with the same id and text, one. Rows met so are found by a narrow count; only they are dealt anew."""
-    key = common.row_key("doc_id", "text")
-    again = docs.groupBy(key.alias(common.KEY)).count().where("count > 1").select(common.KEY)
+    """One row of each near-duplicate component (five-word shingles, similarity 0.8): that of the least id, of rows with
+    the same id that of the least key. Of repeated rows with the same id and text the one that is least in all columns stays."""
+    keyed = common.keyed(docs, "doc_id", "text")
+    found = common.cut(minhash.near_duplicates(keyed, key=common.KEY).select(F.col(common.KEY).alias("k"), F.col("component_id").alias("c")).distinct())
+    grouped = found.join(found.where("k <> c").select(F.col("c").alias("of")).distinct(), F.col("c") == F.col("of"), "left_semi")
+    ids = keyed.select(common.KEY, "doc_id").join(grouped, F.col(common.KEY) == F.col("k"))
+    first = ids.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")).alias("first"))
+    gone = ids.select("c", "k").distinct().join(first, "c").where("k <> first.k").select(F.col("k").alias("gone")).hint("shuffle_hash")
+    return _one_each(keyed.join(gone, F.col(common.KEY) == F.col("gone"), "left_anti"))
+
+
+def _one_each(keyed: DataFrame) -> DataFrame:
+    """Of rows with the same key, the least. Keys that occur again are found by a narrow count; only their rows are dealt anew."""
+    names = [c for c in keyed.columns if c != common.KEY]
+    again = common.cut(keyed.groupBy(F.col(common.KEY).alias("again")).count().where("count > 1").select("again"))
     if not again.limit(1).count():
-        return docs
-    marked = docs.withColumn(common.KEY, key)
-    return marked.dropDuplicates([common.KEY]).drop(common.KEY)
+        return keyed.select(names)
+    alone = keyed.join(again, F.col(common.KEY) == F.col("again"), "left_anti").select(names)
+    same = keyed.join(again, F.col(common.KEY) == F.col("again"), "left_semi").groupBy(common.KEY).agg(F.min(F.struct(*names)).alias("row"))
+    return alone.unionByName(same.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item; rows are told apart by id and text."""
-    keyed = docs.withColumn(common.KEY, common.row_key("doc_id", "text"))
-    found = decontamination.contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.KEY)
-    hit = found.where("n_hit > 0").select(common.KEY).distinct().hint("shuffle_hash")
-    return keyed.join(hit, common.KEY, "left_anti").select(*docs.columns)
+    key = F.struct(F.col("doc_id"), F.sha2("text", 256))
+    found = decontamination.contamination(docs.withColumn(common.KEY, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=common.KEY)
+    hit = found.where("n_hit > 0").select(F.col(common.KEY).alias("hit")).distinct().hint("shuffle_hash")
+    return docs.join(hit, key.eqNullSafe(F.col("hit")), "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
