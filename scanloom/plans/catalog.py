@@ -18,7 +18,8 @@ from scanloom.operators import compare, detect, preprocess, spatial
 from scanloom.operators.registration import RegistrationContext, gate_failure
 from scanloom.plans import derived as d
 from scanloom.plans.derived import q, q_sql
-from scanloom.surface import Surface, normalize_surface, scaled
+from scanloom.report import sha256_column
+from scanloom.surface import Surface, contract_counts, normalize_surface, scaled
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -96,8 +97,8 @@ def validity_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_with(_DIRTY_SQL) + "SELECT count(*) AS n_points, count(*) FILTER (valid AND isnan(x)) AS bad_points, count(*) FILTER (valid AND isinf(nz)) AS bad_normals FROM dirty")
 def surface_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _dirty(spark, sf_dir)
-    return df.agg(F.count("*").alias("n_points"), F.count_if(F.col("valid") & ~g.is_finite(*g.vector())).alias("bad_points"), F.count_if(F.col("valid") & ~g.is_finite(*g.vector("n"))).alias("bad_normals"))
+    counts = contract_counts(_surface(_dirty(spark, sf_dir)))
+    return counts.select(F.col("n").alias("n_points"), F.col("points").alias("bad_points"), F.col("normals").alias("bad_normals"))
 
 
 @_register(_with(d.SCAN_SQL) + "SELECT idx, CASE WHEN nz < 0 THEN 1 ELSE CAST(nz AS INTEGER) END AS nz_aligned FROM scan")
@@ -293,10 +294,15 @@ _CANDIDATE_SQL = _DEVIATION_SQL + f", candidates AS (SELECT CASE WHEN signed_mm
 _MISSING_SQL = _COVERAGE_SQL.replace(f"{d.SEARCH}e0", "0.3e0") + ", candidates AS (SELECT 'missing_material' AS class, idx, x, y, z, 0e0 AS signed_mm FROM cover WHERE reason = 'no_neighbor')"
 
 
+#: Candidates by cells of the tolerance's edge, and with the nine cells that their neighbours can be in: an equi-join finds the pairs.
+_CELLS_SQL = f"""cells AS (SELECT *, CAST(floor(CAST(x AS DOUBLE) / {d.TOLERANCE}e0) AS BIGINT) AS cx, CAST(floor(CAST(y AS DOUBLE) / {d.TOLERANCE}e0) AS BIGINT) AS cy FROM candidates),
+beside_cells AS (SELECT c.*, c.cx + i.d AS nx, c.cy + j.d AS ny FROM cells c, (VALUES (-1), (0), (1)) i(d), (VALUES (-1), (0), (1)) j(d))"""
+
+
 def _cluster_sql(candidates: str) -> str:
     """Candidates with their cluster, by transitive closure of pairs within the tolerance."""
-    return f"""RECURSIVE {candidates},
-edges AS MATERIALIZED (SELECT a.class, a.idx AS i, b.idx AS j, {_D2} AS d2 FROM candidates a JOIN candidates b ON a.class = b.class AND a.idx <> b.idx AND b.x BETWEEN a.x - 0.61 AND a.x + 0.61 AND b.y BETWEEN a.y - 0.61 AND a.y + 0.61 WHERE {_D2} <= {d.TOLERANCE}e0 * {d.TOLERANCE}e0),
+    return f"""RECURSIVE {candidates}, {_CELLS_SQL},
+edges AS MATERIALIZED (SELECT a.class, a.idx AS i, b.idx AS j, {_D2} AS d2 FROM beside_cells a JOIN cells b ON a.class = b.class AND a.nx = b.cx AND a.ny = b.cy AND a.idx <> b.idx WHERE {_D2} <= {d.TOLERANCE}e0 * {d.TOLERANCE}e0),
 reach(class, idx, root) AS (SELECT class, idx, idx FROM candidates UNION SELECT e.class, e.j, r.root FROM reach r JOIN edges e ON e.class = r.class AND e.i = r.idx),
 labels AS (SELECT class, idx, min(root) AS cluster FROM reach GROUP BY class, idx),
 beside AS (SELECT class, i AS idx, sqrt(min(d2)) AS near_mm FROM edges GROUP BY class, i),
@@ -322,7 +328,7 @@ def bump_dent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("class", "idx")
 
 
-@_register(_with(_CANDIDATE_SQL) + f"SELECT a.class, a.idx AS a, b.idx AS b FROM candidates a JOIN candidates b ON a.class = b.class AND a.idx < b.idx AND b.x BETWEEN a.x - 0.61 AND a.x + 0.61 AND b.y BETWEEN a.y - 0.61 AND a.y + 0.61 WHERE {_D2} <= {d.TOLERANCE}e0 * {d.TOLERANCE}e0")
+@_register(_with(_CANDIDATE_SQL, _CELLS_SQL) + f"SELECT a.class, a.idx AS a, b.idx AS b FROM beside_cells a JOIN cells b ON a.class = b.class AND a.nx = b.cx AND a.ny = b.cy AND a.idx < b.idx WHERE {_D2} <= {d.TOLERANCE}e0 * {d.TOLERANCE}e0")
 def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.cluster_edges(_candidates(spark, sf_dir), d.TOLERANCE).select("class", "a", "b")
 
@@ -454,7 +460,7 @@ def gicp_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("SELECT r_regionkey, sha256(r_name) AS sha256 FROM region")
 def sha256_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", F.sha2("r_name", 256).alias("sha256"))
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", sha256_column("r_name").alias("sha256"))
 
 
 @_register(_with(_DEVIATION_SQL) + "SELECT idx, printf('%.6f %.6f ', CAST(x AS DOUBLE), CAST(y AS DOUBLE)) || CASE reason WHEN 'valid' THEN 0 WHEN 'input_invalid' THEN 1 WHEN 'no_neighbor' THEN 2 WHEN 'normal_missing' THEN 3 WHEN 'normal_mismatch' THEN 4 ELSE 5 END || ' -1' AS line FROM field")
@@ -472,7 +478,7 @@ def region_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("id", F.to_json(F.struct("id", F.col("class").alias("type"), "point_count", "centroid", "aabb_min", "aabb_max", "max_abs_mm", "mean_mm", "rms_mm", "p95_abs_mm", "estimated_area_mm2", "area_is_approximate", "severity")).alias("region_json"))
 
 
-_FILE_SQL = _with(d.SCAN_SQL) + f"SELECT idx, row_idx, col_idx, {', '.join(f'{q_sql(c)} AS {c}_um' for c in 'xyz')}, CAST(nz AS INTEGER) AS nz, valid FROM scan WHERE idx < 1500"
+_FILE_SQL = _with(d.SCAN_SQL) + f"SELECT idx, row_idx, col_idx, {', '.join(f'{q_sql(c)} AS {c}_um' for c in 'xyz')}, CAST(nz AS INTEGER) AS nz, valid FROM scan"
 
 
 def _grid(df: DataFrame) -> tuple[DataFrame, int]:

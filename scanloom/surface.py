@@ -94,15 +94,19 @@ def from_points(
     return validate_surface(surface) if check else surface
 
 
+def contract_counts(surface: Surface) -> DataFrame:
+    """One row: points, null mask elements, and valid points with a coordinate or a normal that is not finite."""
+    bad_point = F.col("valid") & ~g.is_finite(*g.vector())
+    bad_normal = F.col("valid") & ~g.is_finite(*g.vector("n")) if surface.has_normals else F.lit(False)
+    return surface.df.agg(F.count("*").alias("n"), F.count_if(F.col("valid").isNull()).alias("mask"), F.count_if(bad_point).alias("points"), F.count_if(bad_normal).alias("normals"))
+
+
 def validate_surface(surface: Surface) -> Surface:
     """Check the contract in one pass over the points; the first problem is raised."""
     if surface.unit not in MM_PER_UNIT:
         raise surface_error("unit", "is not supported", "invalid_argument")
     frame_id(surface.frame)
-    p, n = g.vector(), g.vector("n")
-    bad_point = F.col("valid") & ~g.is_finite(*p)
-    bad_normal = F.col("valid") & ~g.is_finite(*n) if surface.has_normals else F.lit(False)
-    found = surface.df.agg(F.count("*").alias("n"), F.count_if(F.col("valid").isNull()).alias("mask"), F.count_if(bad_point).alias("points"), F.count_if(bad_normal).alias("normals")).first()
+    found = contract_counts(surface).first()
     if not found["n"]:
         raise surface_error("points", "must not be empty")
     if found["mask"]:

@@ -90,7 +90,7 @@ def test_attribute_ply(spark, tmp_path):
 def test_config_round_trip_and_rules():
     config = S.config()
     assert parse_config(serialize_config(config)) == config
-    assert validate_config(config).comparison.max_normal_angle_deg == 35.0
+    assert validate_config(config).comparison.max_normal_angle_deg == S.CONFIG["comparison"]["max_normal_angle_deg"]
     text = json.loads(serialize_config(config))
     for section, name, value, reason in (
         ("preprocess", "voxel_size_mm", None, "is required"), ("preprocess", "normal_min_neighbors", 2, "must be at least 3"), ("comparison", "max_normal_angle_deg", 91, "must be in [0, 90]"),

@@ -48,8 +48,8 @@ def test_partitions_do_not_change_the_pose(spark):
     found = set()
     for n in ("2", "5"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        context = RegistrationContext(S.surface(spark, *S.features(), frame=S.FRAME), RegistrationParameters(8, 1.0, 0.3, 1e-4, 1e-5, 1e-5))
-        found.add(context.align(S.surface(spark, *S.moved(*S.features(), np.linalg.inv(S.turn_z(1, (0.2, 0.1, 0.05))))), S.identity()).final_transform.matrix)
+        context = RegistrationContext(S.surface(spark, *S.ripples(), frame=S.FRAME), RegistrationParameters(8, 1.0, 0.3, 1e-4, 1e-5, 1e-5))
+        found.add(context.align(S.surface(spark, *S.moved(*S.ripples(), np.linalg.inv(S.turn_z(1, (0.2, 0.1, 0.05))))), S.identity()).final_transform.matrix)
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert len(found) == 1
 
@@ -96,37 +96,43 @@ def test_identical_passes_and_repeats(spark, flat_context, pipeline):
 
 def test_rigid_motion_is_found(spark, pipeline):
     turn = S.turn_z(2, (0.5, 0.3, 0.1))
-    r = pipeline.run(S.surface(spark, *S.features(), frame=S.FRAME), S.surface(spark, *S.moved(*S.features(), np.linalg.inv(turn))))
+    r = pipeline.run(S.surface(spark, *S.ripples(), frame=S.FRAME), S.surface(spark, *S.moved(*S.ripples(), np.linalg.inv(turn))))
     pose = np.array(r["registration"]["final_pose"]["matrix"]).reshape(4, 4)
     assert r["verdict"] == "pass" and np.abs(pose - turn).max() < 1e-4
 
 
-@pytest.mark.parametrize("height,kind", [(0.8, "bump"), (-0.8, "dent")])
-def test_bump_and_dent(spark, flat_context, height, kind):
-    r = flat_context.run(S.surface(spark, *S.plane(height)))
+@pytest.mark.parametrize("height,kind,centre", [(0.7, "bump", (1.2, -0.8)), (-0.6, "dent", (-2.0, 0.4))])
+def test_a_knob_is_found_where_it_stands(spark, flat_context, height, kind, centre):
+    r = flat_context.run(S.surface(spark, *S.plane(height, 1.8, *centre)))
     assert r["verdict"] == "fail" and [x["type"] for x in r["regions"]] == [kind]
     region = r["regions"][0]
-    assert abs(region["max_abs_mm"] - 0.8) <= max(0.02, 0.05 * 0.8) and region["mean_mm"] * height > 0 and region["severity"] == "reject"
-    assert abs(region["centroid"]["x"]) <= 0.3 and abs(region["centroid"]["y"]) <= 0.3
+    assert abs(region["max_abs_mm"] - abs(height)) < 0.05 and region["mean_mm"] * height > 0 and region["severity"] == "reject"
+    assert np.hypot(region["centroid"]["x"] - centre[0], region["centroid"]["y"] - centre[1]) < 0.3
 
 
-def test_missing_material(spark, flat_context):
+def test_two_knobs_are_two_regions(spark, flat_context):
+    p, n = S.plane(0.6, 1.5, -3.0, -3.0)
+    p[:, 2] += S.plane(-0.6, 1.5, 3.0, 2.0)[0][:, 2]
+    r = flat_context.run(S.surface(spark, p, n))
+    assert sorted(x["type"] for x in r["regions"]) == ["bump", "dent"]
+
+
+def test_a_hole_is_missing_material(spark, flat_context):
     p, n = S.plane()
-    hole = np.hypot(p[:, 0], p[:, 1])
-    r = flat_context.run(S.surface(spark, p[hole > 3], n[hole > 3]))
-    missing = [x for x in r["regions"] if x["type"] == "missing_material"]
-    assert missing and sum(x["point_count"] for x in missing) / (hole <= 1.5).sum() >= 0.95 and r["verdict"] != "pass"
+    r = np.hypot(p[:, 0] - 1.0, p[:, 1])
+    found = flat_context.run(S.surface(spark, p[r > 2.9], n[r > 2.9]))
+    missing = sum(x["point_count"] for x in found["regions"] if x["type"] == "missing_material")
+    assert missing >= 0.9 * (r <= 1.4).sum() and found["verdict"] != "pass"
 
 
-def test_dropout_bad_pose_flipped_normals_and_edge(spark, flat_context):
+def test_scans_that_cannot_be_judged(spark, flat_context):
     p, n = S.plane()
-    half = p[:, 0] <= 0
-    assert flat_context.run(S.surface(spark, p[half], n[half]))["verdict"] != "pass"
-    far = flat_context.run(S.surface(spark, p + [0, 0, 100], n))
-    assert far["verdict"] == "indeterminate" and far["regions"] == []
-    flipped = flat_context.run(S.surface(spark, p, -n))
-    assert flipped["verdict"] != "pass" and flipped["deviations"]["valid_count"] == 0
-    assert flat_context.run(S.surface(spark, *S.plane(0.5, 0.4, 5.5, 0.0)))["regions"] == []
+    lifted = flat_context.run(S.surface(spark, p + [0, 0, 60], n))
+    assert lifted["verdict"] == "indeterminate" and lifted["regions"] == []
+    quarter = (p[:, 0] < -1) & (p[:, 1] < -1)
+    assert flat_context.run(S.surface(spark, p[quarter], n[quarter]))["verdict"] != "pass"
+    upside_down = flat_context.run(S.surface(spark, p, -n))
+    assert upside_down["deviations"]["valid_count"] == 0 and upside_down["verdict"] != "pass"
 
 
 def test_unmasked_nan_is_an_error(spark):
