@@ -7,7 +7,9 @@ distinct missing text once, appends the new counts in one atomic write and joins
 Normalisation only maps null to the empty text, since any other change could change the count. Equal
 texts share one entry. The text meets the encoder through a join on (id, digest) of one representative per
 digest: the representatives come from a min() that is combined before its shuffle, so a hot text costs one row
-per task. Null ids and repeated rows keep one result row per input row; an empty table gives an empty result.
+per task. Null ids and repeated rows keep one result row per input row; texts of any length are encoded whole, one at a time where they
+are longer than ``ENCODE_BYTES``; of equal texts the one of least id is encoded; ids may be of any type, and columns of other names
+are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,8 +57,11 @@ def encode_counts(df: DataFrame, tokenizer_name: str) -> DataFrame:
     """(content, n_tokens) of a table (content, text). The model file is found on the executor by its name."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = locate(tokenizer_name)
+        path, seen = locate(tokenizer_name), set()
         for batch in slices(batches, "text", ENCODE_BYTES):
+            # copies that share id and text come to the same task: one is encoded
+            fresh = np.array([not (c in seen or seen.add(c)) for c in batch.column("content").to_pylist()], dtype=bool)
+            batch = batch.filter(pa.array(fresh))
             counts = _count(path, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(counts, pa.int64())], names=["content", "n_tokens"])
 

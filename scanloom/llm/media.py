@@ -6,8 +6,9 @@ partition owns the members whose header starts in its range, found in the archiv
 Members are read by offset, one at a time, each with its own retries, and leave as Arrow batches of
 bounded bytes. ``read_media`` decodes them.
 
-Defined results: null text counts as empty; an empty payload pads to one row of 192 samples; repeated
-rows are separate members; a null key is kept as null; an empty table gives an empty result.
+Defined results: null text counts as empty; an empty payload pads to one row of 192 samples; a very long text is one member, held
+whole by the task that packs or reads it; repeated rows, and rows with the same key, are separate members; a null key has a name without a key
+and comes back as null; keys may be any text; columns of other names are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,6 @@ PAD = b"\x20"
 BATCH_BYTES = 8 << 20
 PARTITION_BYTES = 64 << 20
 ATTEMPTS = 4
-NULL_KEY = "null"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -145,7 +146,8 @@ def write_archives(df: DataFrame, key: str, text: str, folder: str) -> DataFrame
             for batch in batches:
                 for k, payload in zip(batch.column(0), batch.column(1)):
                     payload = payload.as_py() or b""
-                    yield f"{n:010d}-{NULL_KEY if k.as_py() is None else k.as_py()}.png", encode_image(payload)
+                    name = "" if k.as_py() is None else f"-{quote(k.as_py(), safe='')}"
+                    yield f"{n:010d}{name}.png", encode_image(payload)
                     n += 1
 
         name = f"part-{TaskContext.get().partitionId():06d}.zip"
@@ -253,9 +255,9 @@ def decode(media: DataFrame) -> DataFrame:
             for member, body in zip(batch.column("member").to_pylist(), batch.column("media")):
                 body = body.as_py()
                 samples, n_bytes = decode_image(body)
-                key = member.split("-", 1)[1][:-4]
+                key = unquote(member[:-4].split("-", 1)[1]) if "-" in member else None
                 out.append((
-                    None if key == NULL_KEY else key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(),
+                    key, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(),
                     zlib.crc32(samples[-16:]), len(body), hashlib.sha256(body).hexdigest(), feature(samples),
                 ))
             if out:

@@ -18,8 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.llm import media
 
-    rows = media.media_columns(_table(spark, sf_dir, "documents"))
-    return rows.select(F.expr("try_cast(key AS BIGINT)").alias("doc_id"), *rows.columns[1:])
+    docs = _table(spark, sf_dir, "documents")
+    rows = media.media_columns(docs)
+    return rows.select(F.col("key").cast(docs.schema["doc_id"].dataType).alias("doc_id"), *rows.columns[1:])
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

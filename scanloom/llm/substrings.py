@@ -12,7 +12,8 @@ documents share costs a row per block, not a row per document, in the shuffle. N
 
 Defined results: null text, or text without words, has no words and keeps the empty string's digest; texts shorter than
 ``span`` keep all words; rows with the same id and text get the same result, and each of them counts as an
-occurrence; a null id is kept; an empty table gives an empty result.
+occurrence; a null id is kept; ids may be whole numbers or text; texts of any length are read whole; rows that share an id are told apart
+by 16 bits of their texts' hash where ids are numbers; columns of other names are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from scanloom.llm.common import cut
+from scanloom.llm.common import KEY, cut, keyed
 from scanloom.llm.tokens import Words, grams, slices, split_words
 
 SPAN = 35
@@ -156,6 +157,11 @@ def _kept(rows: DataFrame, span: int) -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """(key, n_words, n_removed, kept) for each row: ``kept`` is the words outside repeats, joined by one space."""
+    if df.schema[key].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        numbered = keyed(df.select(F.col(key).alias("name"), F.col(text).alias("text")), "name", "text")
+        names = numbered.select(F.col(KEY).alias("n"), "name").distinct()
+        found = remove_repeats(numbered, KEY, "text", span, k)
+        return found.join(names, F.col(KEY) == F.col("n")).select(F.col("name").alias(key), *found.columns[1:])
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.hash(text).bitwiseAND(F.lit(0xFFFF)).alias("r"))
     bitmap = _bitmap(cut(_repeated(rows, span, k)))
     found = _windows(rows, bitmap, span, k).withColumn("n", F.count("*").over(Over.partitionBy("h1", "h2")))

@@ -52,6 +52,14 @@ def test_repeats_across_slices_and_short_spans(spark, monkeypatch):
     assert _sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == _sorted((i, *w) for (i, _), w in zip(rows, C.repeats(rows, 6)))
 
 
+def test_repeats_of_ids_that_are_text(spark):
+    rows = C.texts()
+    docs = C.table(spark, rows).withColumn("doc_id", substrings.F.concat(substrings.F.lit("d"), "doc_id"))
+    got = substrings.remove_repeats(docs).collect()
+    want = C.repeats(rows, 35)
+    assert _sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got) == _sorted((None if i is None else f"d{i}", *w) for (i, _), w in zip(rows, want))
+
+
 def test_repeats_of_an_empty_table(spark):
     assert substrings.remove_repeats(C.empty(spark)).count() == 0
 

@@ -43,6 +43,12 @@ def test_media_round_trip(spark, monkeypatch):
     assert media.media_columns(C.empty(spark)).count() == 0
 
 
+def test_keys_of_members_come_back(spark):
+    keys = ["null", None, "", "a/b-c.png", "é ☃", "-", "x" * 300]
+    got = media.media_columns(spark.createDataFrame([(k, "t") for k in keys], "doc_id string, text string")).collect()
+    assert _sorted(r["key"] for r in got) == _sorted(keys)
+
+
 def test_every_byte_survives_and_damage_is_seen():
     payload = bytes(range(256)) * 3
     image = media.encode_image(payload)
