@@ -115,6 +115,10 @@ def regularized(points: np.ndarray, epsilon: float) -> np.ndarray:
     return np.einsum("nij,j,nkj->nik", vectors, np.array([epsilon, 1.0, 1.0]), vectors)
 
 
+#: Cells of more points are looked through for points at one place.
+CROWD = 32
+
+
 class CellIndex:
     """Exact nearest neighbour within a radius over a cloud held in memory: cells of a few points, searched in rings."""
 
@@ -131,6 +135,16 @@ class CellIndex:
         key = self._key(cells)
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
+        if np.diff(np.append(np.flatnonzero(np.diff(self.keys, prepend=-2)), len(points))).max() > CROWD:
+            kept = self._first_at_place()[self.order]
+            self.order, self.keys = self.order[kept], self.keys[kept]
+
+    def _first_at_place(self) -> np.ndarray:
+        """Which points come first of those at their place: the others are never nearest."""
+        order = np.lexsort(self.points.T)
+        first = np.ones(len(order), dtype=bool)
+        first[order[1:]] = (self.points[order[1:]] != self.points[order[:-1]]).any(axis=1)
+        return first
 
     def _key(self, cells: np.ndarray) -> np.ndarray:
         c = cells - self.low

@@ -17,7 +17,7 @@ _PAYLOAD = ("nx", "ny", "nz", "boundary")
 
 def deviation_index(reference: DataFrame, search: float, keys: Sequence[str] = ()) -> DataFrame:
     """The reference side of ``deviation_field`` as a table; cache it to compare many scans."""
-    return indexed(reference.where("valid"), search, _PAYLOAD, keys)
+    return indexed(reference.where("valid"), search, _PAYLOAD, keys, copies=False)
 
 
 def sized_deviation_index(reference: DataFrame, search: float) -> KernelIndex | DataFrame:
@@ -71,7 +71,7 @@ def coverage_field(reference: DataFrame, scan: DataFrame, search: float, keys: S
     ``index`` is the scan's side when it is at hand, else it is made as a table.
     """
     own = [c for c in reference.columns]
-    index = indexed(scan.where("valid"), search, ("boundary",), keys) if index is None else index
+    index = indexed(scan.where("valid"), search, ("boundary",), keys, copies=False) if index is None else index
     matched = nearest(reference.where("valid"), index, search, ("boundary",), keys)
     reason = F.when(F.col("r_idx").isNull(), "no_neighbor").when(F.coalesce("r_boundary", F.lit(False)), "scan_boundary").otherwise("covered")
     found = matched.select(*own, F.coalesce("r_distance", F.lit(0.0)).alias("distance_mm"), reason.alias("reason"))

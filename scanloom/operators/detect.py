@@ -32,19 +32,23 @@ def cluster(candidates: DataFrame, tolerance: float, min_points: int, small: int
     """Candidates in clusters of at least ``min_points``: class, cluster (its least index), idx, x, y, z, signed_mm, near_mm.
 
     Clusters are the components of the graph of pairs within ``tolerance``. near_mm is the distance to the nearest other
-    member, which is such a pair's by construction. Classes hold disjoint points of their own index space.
+    member, which is such a pair's by construction. Classes hold disjoint points of their own index space. Pairs are made
+    of places, not of points: the candidates at one place are one node, named by the least index, and 0 from one another.
     """
     candidates = cut(candidates)
-    edges = cut(cluster_edges(candidates, tolerance))
+    places = cut(candidates.groupBy("class", "x", "y", "z").agg(F.min("idx").alias("idx"), F.count("*").alias("copies")))
+    edges = cut(cluster_edges(places, tolerance))
     # one index space: index * 4 + class
     code = F.when(F.col("class") == "bump", 0).when(F.col("class") == "dent", 1).otherwise(2)
     links = edges.select((F.col("a") * 4 + code).alias("a"), (F.col("b") * 4 + code).alias("b"))
     labels = sized_components(links, small).select(F.col("id").alias("__id"), F.col("component").alias("__component"))
     both = edges.select("class", F.col("a").alias("i"), "d2").unionByName(edges.select("class", F.col("b").alias("i"), "d2"))
-    near = both.groupBy("class", "i").agg(F.sqrt(F.min("d2")).alias("near_mm")).withColumnRenamed("class", "c")
-    marked = candidates.withColumn("__node", F.col("idx") * 4 + code).join(labels, F.col("__node") == F.col("__id"), "left")
+    near = both.groupBy("class", "i").agg(F.sqrt(F.min("d2")).alias("beside_mm")).withColumnRenamed("class", "c")
+    marked = places.withColumn("__node", F.col("idx") * 4 + code).join(labels, F.col("__node") == F.col("__id"), "left")
     marked = marked.join(near, (F.col("class") == F.col("c")) & (F.col("idx") == F.col("i")), "left")
-    placed = marked.select("class", F.floor(F.coalesce("__component", "__node") / 4).cast("long").alias("cluster"), "idx", "x", "y", "z", "signed_mm", "near_mm")
+    near_mm = F.when(F.col("copies") > 1, 0.0).otherwise(F.col("beside_mm")).alias("near_mm")
+    nodes = marked.select("class", "x", "y", "z", F.floor(F.coalesce("__component", "__node") / 4).cast("long").alias("cluster"), near_mm)
+    placed = candidates.join(nodes, ["class", "x", "y", "z"]).select("class", "cluster", "idx", "x", "y", "z", "signed_mm", "near_mm")
     large = placed.groupBy(F.col("class").alias("c"), F.col("cluster").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") >= min_points)
     return placed.join(large, (F.col("class") == F.col("c")) & (F.col("cluster") == F.col("k"))).drop("c", "k", "n")
 

@@ -141,11 +141,13 @@ class Orientation:
 
 
 def neighbourhood_moments(valid: DataFrame, radius: float, keys: Sequence[str] = ()) -> DataFrame:
-    """Count, sums and products of neighbour offsets within ``radius`` for each point, itself included."""
-    pairs = radius_join(valid.select(*keys, "idx", "x", "y", "z"), indexed(valid, radius, keys=keys), radius, keys)
+    """Count, sums and products of neighbour offsets within ``radius`` for each point, itself included. Points at one place are met once, with their number."""
+    places = valid.groupBy(*keys, "x", "y", "z").agg(F.min("idx").alias("idx"), F.count("*").alias("copies"))
+    pairs = radius_join(valid.select(*keys, "idx", "x", "y", "z"), indexed(places, radius, ("copies",), keys), radius, keys)
+    w = F.col("r_copies")
     dx, dy, dz = (F.col(f"r_{c}").cast("double") - F.col(c).cast("double") for c in "xyz")
     sums = {"sx": dx, "sy": dy, "sz": dz, "xx": dx * dx, "xy": dx * dy, "xz": dx * dz, "yy": dy * dy, "yz": dy * dz, "zz": dz * dz}
-    return pairs.groupBy(*keys, *CELL, "idx").agg(F.count("*").alias("n"), *(F.sum(v).alias(k) for k, v in sums.items())).drop(*CELL)
+    return pairs.groupBy(*keys, *CELL, "idx").agg(F.sum(w).alias("n"), *(F.sum(w * v).alias(k) for k, v in sums.items())).drop(*CELL)
 
 
 def plane_normals(n: np.ndarray, s: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

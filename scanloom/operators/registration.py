@@ -139,7 +139,7 @@ class RegistrationContext:
             self.sent = spark.sparkContext.broadcast((k.CellIndex(rows[:, :3].astype(np.float32).astype(float), parameters.max_correspondence_distance_mm), rows))
         else:
             radius = parameters.max_correspondence_distance_mm
-            self.index = indexed(points, radius, self.columns[3:]).persist(StorageLevel.MEMORY_AND_DISK)
+            self.index = indexed(points, radius, self.columns[3:], copies=False).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         if self.sent is not None:

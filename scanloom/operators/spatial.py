@@ -29,8 +29,18 @@ def _edge(radius: float) -> float:
     return 2.0 * radius * _SLACK
 
 
-def indexed(df: DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), point: Sequence[str] = ("x", "y", "z"), idx: str = "idx") -> DataFrame:
-    """The indexed side: one row for each cell that a point's box meets. Worth caching when it serves many queries."""
+def first_at_place(df: DataFrame, payload: Sequence[str] = (), keys: Sequence[str] = (), point: Sequence[str] = ("x", "y", "z"), idx: str = "idx") -> DataFrame:
+    """Of the points at one place the one of least index: all that a nearest join can find. Combined before its shuffle."""
+    own = F.min_by(F.struct(idx, *point, *payload), F.col(idx)).alias("__own")
+    return df.groupBy(*keys, *(F.col(c).alias(f"__at_{i}") for i, c in enumerate(point))).agg(own).select(*keys, "__own.*")
+
+
+def indexed(df: DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), point: Sequence[str] = ("x", "y", "z"), idx: str = "idx", copies: bool = True) -> DataFrame:
+    """The indexed side: one row for each cell that a point's box meets. Worth caching when it serves many queries.
+
+    Without ``copies`` only one point of each place is kept, as nearest and semi joins need no more.
+    """
+    df = df if copies else first_at_place(df, payload, keys, point, idx)
     size, reach = _edge(radius), radius * _SLACK
     out = df.select(*keys, F.col(idx).alias("r_idx"), *(F.col(c).alias(f"r_{a}") for c, a in zip(point, "xyz")), *(F.col(c).alias(f"r_{c}") for c in payload))
     for name, a in zip(CELL, "xyz"):
@@ -98,7 +108,7 @@ def index_for(points: DataFrame, radius: float, payload: Sequence[str] = (), key
     """A kernel index while there are at most ``limit`` points and no keys; the cell-keyed table beyond."""
     if not keys and points.limit(limit + 1).count() <= limit:
         return KernelIndex(points, radius, payload, kind)
-    return indexed(points, radius, payload, keys)
+    return indexed(points, radius, payload, keys, copies=False)
 
 
 def nearest(queries: DataFrame, index: KernelIndex | DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), kind: str = "float") -> DataFrame:
@@ -146,12 +156,15 @@ def knn_join(points: DataFrame, k: int, radius: float, idx: str = "idx", max_rou
 
     Starts at ``radius``; points with fewer than k partners are looked up again at twice the radius. Those with k are
     complete, as everything within the radius has been seen. Points with fewer than k others keep them all.
+    Of the points at one place only the k of least index are looked up: others rank behind them.
     """
     total = points.count()
     k = min(k, total)
     out, left = None, points
+    place = Window.partitionBy("x", "y", "z").orderBy(idx)
+    near = cut(points.select(idx, "x", "y", "z", F.row_number().over(place).alias("__copy")).where(F.col("__copy") <= k).drop("__copy"))
     for _ in range(max_rounds):
-        pairs = radius_join(left.select(idx, "x", "y", "z"), indexed(points, radius, idx=idx), radius)
+        pairs = radius_join(left.select(idx, "x", "y", "z"), indexed(near, radius, idx=idx), radius)
         window = Window.partitionBy(*CELL, idx)
         ranked = pairs.withColumns({"rank": F.row_number().over(window.orderBy("d2", "r_idx")), "__n": F.count("*").over(window)})
         done = ranked.where((F.col("__n") >= k) & (F.col("rank") <= k)).select(idx, "r_idx", "rank", "d2", "r_x", "r_y", "r_z")

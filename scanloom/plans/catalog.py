@@ -149,7 +149,7 @@ def voxel_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nearest(queries: DataFrame, points: DataFrame, radius: float, kind: str = "float") -> DataFrame:
-    index = spatial.indexed(points.where("valid"), radius)
+    index = spatial.indexed(points.where("valid"), radius, copies=False)
     return spatial.nearest_join(queries.where("valid"), index, radius, kind=kind)
 
 
@@ -196,7 +196,7 @@ def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH, "DOUBLE")) + "SELECT n.idx, n.r_idx FROM near n JOIN scan s USING (idx) JOIN reference r ON r.idx = n.r_idx WHERE CAST(s.nz AS DOUBLE) * r.nz >= 0")
 def back_facing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, ("nx", "ny", "nz"))
+    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, ("nx", "ny", "nz"), copies=False)
     pairs = spatial.nearest_join(d.scan(spark, sf_dir).where("valid"), index, d.SEARCH, ("nx", "ny", "nz"), kind="double").where("r_idx IS NOT NULL")
     return pairs.where(g.dot(g.vector("n"), g.vector("r_n")) >= 0).select("idx", "r_idx")
 
@@ -278,13 +278,13 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "reference", "scan", 0.3)) + "SELECT idx FROM near")
 def covered_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.scan(spark, sf_dir).where("valid"), 0.3)
+    index = spatial.indexed(d.scan(spark, sf_dir).where("valid"), 0.3, copies=False)
     return compare.covered(d.reference(spark, sf_dir).where("valid"), index, 0.3).select("idx")
 
 
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "reference", "scan", 0.3)) + "SELECT idx FROM reference WHERE valid AND idx NOT IN (SELECT idx FROM near)")
 def uncovered_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.scan(spark, sf_dir).where("valid"), 0.3)
+    index = spatial.indexed(d.scan(spark, sf_dir).where("valid"), 0.3, copies=False)
     return compare.uncovered(d.reference(spark, sf_dir).where("valid"), index, 0.3).select("idx")
 
 
@@ -390,7 +390,7 @@ _JACOBIAN = ("p.y", "-p.x", "0e0", "0e0", "0e0", "1e0")  # cross(p, (0, 0, 1)),
     "pairs AS (SELECT p.idx // 256 AS block, CAST(p.y AS DOUBLE) AS j0, -CAST(p.x AS DOUBLE) AS j1, CAST(p.z AS DOUBLE) AS r, CASE WHEN abs(CAST(p.z AS DOUBLE)) <= 0.3e0 THEN 1e0 ELSE 0.3e0 / abs(CAST(p.z AS DOUBLE)) END AS w FROM near n JOIN scan p USING (idx))")
     + f"SELECT block, count(*) AS pairs, {', '.join(q_sql(f'sum(w * {e})') + f' AS {n}' for n, e in (('a00', 'j0 * j0'), ('a01', 'j0 * j1'), ('a05', 'j0'), ('a11', 'j1 * j1'), ('a15', 'j1'), ('a55', '1e0'), ('b0', '-r * j0'), ('b1', '-r * j1'), ('b5', '-r')))}, {q_sql('sum(abs(r))')} AS residual FROM pairs GROUP BY block")
 def icp_block_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH)
+    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, copies=False)
     pairs = spatial.nearest_join(d.scan(spark, sf_dir).where("valid"), index, d.SEARCH, kind="double").where("r_idx IS NOT NULL")
     x, y, z = (c.cast("double") for c in g.vector())
     rz = F.col("r_z").cast("double")

@@ -90,10 +90,10 @@ def test_joins_match_brute_force(spark):
     a, b = from_points(spark, p).df, from_points(spark, q).df
     p32, q32 = p.astype(np.float32).astype(float), q.astype(np.float32).astype(float)
     d2 = ((q32[:, None] - p32[None]) ** 2).sum(axis=2)
-    near = spatial.nearest_join(b, spatial.indexed(a, 0.4), 0.4, kind="double")
-    got = dict(rows(near, "idx", "r_idx"))
     want = {i: (int(d2[i].argmin()) if d2[i].min() <= 0.16 else None) for i in range(len(q))}
-    assert got == want
+    for copies in (True, False):
+        near = spatial.nearest_join(b, spatial.indexed(a, 0.4, copies=copies), 0.4, kind="double")
+        assert dict(rows(near, "idx", "r_idx")) == want
     exact = {r["idx"]: r["p_idx"] for r in spatial.exhaustive_nearest(b, a, 0.4).collect()}
     assert exact == {i: j for i, j in want.items() if j is not None}
     pairs = spatial.radius_join(a.select("idx", "x", "y", "z"), spatial.indexed(a, 0.75), 0.75)
@@ -107,6 +107,27 @@ def test_joins_match_brute_force(spark):
     assert index.nearest(q32).tolist() == [-1 if want[i] is None else want[i] for i in range(len(q))]
 
 
+def test_many_points_at_one_place(spark):
+    """30,000 points at one place and five beside them: no step makes their pairs, which would be 900 million."""
+    n = 30_000
+    p = np.zeros((n + 5, 3))
+    p[n:, :2] = [(0.5, 0), (0, 0.5), (1, 0), (40, 40), (0.75, 0.75)]
+    a = from_points(spark, p).df
+    index = spatial.indexed(a, 2.0, ("nz",), copies=False)
+    found = spatial.nearest_join(a, index, 2.0, ("nz",), kind="double").groupBy("r_idx").count()
+    assert dict(rows(found, "r_idx", "count")) == {0: n} | {n + i: 1 for i in range(5)}
+    kernel = k.CellIndex(p, 2.0)
+    assert np.array_equal(kernel.nearest(p), np.append(np.zeros(n, np.int64), np.arange(n, n + 5)))
+    knn = spatial.knn_join(a, 3, 0.25)
+    assert knn.count() == 3 * (n + 5) and rows(knn.where("idx < 30000").select("r_idx").distinct(), "r_idx") == [(0,), (1,), (2,)]
+    assert sorted(rows(knn.where(F.col("idx") == n), "rank", "r_idx")) == [(1, n), (2, 0), (3, 1)]
+    moments = preprocess.neighbourhood_moments(a, 2.0).where(F.col("idx") == n).first()
+    assert moments["n"] == n + 4 and math.isclose(moments["sx"], -0.5 * n - 0.5 + 0.5 + 0.25)
+    candidates = a.select(F.lit("bump").alias("class"), "idx", "x", "y", "z", F.lit(1.0).alias("signed_mm"))
+    groups = detect.cluster(candidates, 0.6, 1).groupBy("cluster").agg(F.count("*").alias("c"), F.max("near_mm").alias("m"))
+    assert {r["cluster"]: (r["c"], r["m"] and round(r["m"], 6)) for r in groups.collect()} == {0: (n + 3, 0.5), n + 3: (1, None), n + 4: (1, None)}
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_both_kinds_of_index_agree(spark, kind):
     rng = np.random.default_rng(17)
