@@ -105,6 +105,22 @@ def test_groups_of_edited_copies_lose_no_link(spark, monkeypatch, block):
     assert got == want and 3 < len(set(want.values())) < 90
 
 
+def test_copies_around_a_hub_lose_no_link(spark, monkeypatch):
+    """Copies similar to one text that is not the least of them, hardly to each other."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    rng = random.Random(4)
+    rows = []
+    for group in range(2):
+        base = C.words(rng, 100, 100_000)
+        for i in range(25):
+            text = list(base)
+            for at in rng.sample(range(100), 0 if i == 20 else 5):
+                text[at] = f"e{rng.randrange(10**9)}"
+            rows.append((100 * group + i, " ".join(text)))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(C.table(spark, rows).repartition(3), shingle=2).collect()}
+    assert got == {i: c for (i, _), (_, c) in zip(rows, C.near_components(rows, 2))} and len(set(got.values())) < 20
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert minhash.near_duplicates(C.empty(spark)).count() == 0
 
