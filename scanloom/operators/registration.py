@@ -154,10 +154,15 @@ class RegistrationContext:
         found = nearest_join(sent, self.index, self.parameters.max_correspondence_distance_mm, self.columns[3:], kind="double")
         return found.repartition("block").sortWithinPartitions("block", "ord")
 
-    def _sums(self, scan: DataFrame, pose: np.ndarray, final: bool) -> np.ndarray:
-        """Sum over all pairs, in block order: 36 matrix entries, 6 gradient entries, residual, count. ``final``: squared residuals."""
+    def block_equations(self, scan: DataFrame, pose: np.ndarray, final: bool = False) -> DataFrame:
+        """(block, sums): 36 matrix entries, 6 gradient entries, residual and count of each block's pairs. ``final``: squared residuals.
+
+        ``scan`` has idx, x, y, z, its normal if pairs that face away are to go, ord and block; blocks without pairs give no row.
+        """
         parameters, plane, gicp, sent, names = self.parameters, self.plane, self.gicp, self.sent, self.columns
         both_normals = self.has_normals and "nx" in scan.columns
+        if sent is None:  # the unmoved points go along through the join
+            scan = scan.withColumns({f"o_{c}": F.col(c) for c in "xyz"})
         scan_names = [c for c in scan.columns if c not in ("idx", "ord", "block")]
         moved = scan if sent is not None else self._pairs(scan, pose)
 
@@ -206,7 +211,11 @@ class RegistrationContext:
                 ids = sorted(carry)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([carry[i].tolist() for i in ids], pa.list_(pa.float64()))], names=["block", "sums"])
 
-        rows = moved.mapInArrow(add, "block long, sums array<double>").collect()
+        return moved.mapInArrow(add, "block long, sums array<double>")
+
+    def _sums(self, scan: DataFrame, pose: np.ndarray, final: bool) -> np.ndarray:
+        """The sums of all blocks, in their order; there are at most PACKETS."""
+        rows = self.block_equations(scan, pose, final).collect()
         total = np.zeros(44)
         for row in sorted(rows, key=lambda r: r["block"]):
             total += np.array(row["sums"])
@@ -230,8 +239,6 @@ class RegistrationContext:
             points = points.join(covariances(points, p.covariance_neighbors, p.covariance_epsilon, p.max_correspondence_distance_mm), "idx")
         size = max(k.BLOCK, -(-n // PACKETS))
         blocks = ordinals(points).withColumn("block", F.floor(F.col("ord") / size).cast("long"))
-        if self.sent is None:
-            blocks = blocks.withColumns({f"o_{c}": F.col(c) for c in "xyz"})
         held = blocks.repartition("block").sortWithinPartitions("block", "ord").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._solve(held, n, initial)

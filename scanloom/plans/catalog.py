@@ -9,7 +9,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
@@ -39,6 +40,15 @@ def _register(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _step_parameters(method: str) -> RegistrationParameters:
+    return RegistrationParameters(40, d.SEARCH, 0.3, 1e-6, 1e-7, 1e-9, method)
+
+
+def _in_blocks(points: DataFrame, block: Column) -> DataFrame:
+    """Points as ``RegistrationContext.block_equations`` takes them."""
+    return points.withColumns({"ord": F.col("idx"), "block": block}).repartition("block").sortWithinPartitions("block", "ord")
+
+
 def _surface(df: DataFrame, unit: str = "millimeter", frame: str = "fixture") -> Surface:
     return Surface(df, unit, frame, True, True)
 
@@ -197,8 +207,11 @@ def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH, "DOUBLE")) + "SELECT n.idx, n.r_idx FROM near n JOIN scan s USING (idx) JOIN reference r ON r.idx = n.r_idx WHERE CAST(s.nz AS DOUBLE) * r.nz >= 0")
 def back_facing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, ("nx", "ny", "nz"), copies=False)
-    pairs = spatial.nearest_join(d.scan(spark, sf_dir).where("valid"), index, d.SEARCH, ("nx", "ny", "nz"), kind="double").where("r_idx IS NOT NULL")
-    return pairs.where(g.dot(g.vector("n"), g.vector("r_n")) >= 0).select("idx", "r_idx")
+    scan = d.scan(spark, sf_dir).where("valid")
+    pairs = spatial.nearest_join(scan.select("idx", "x", "y", "z"), index, d.SEARCH, ("nx", "ny", "nz"), kind="double")
+    context = RegistrationContext(_surface(d.reference(spark, sf_dir)), _step_parameters("point_to_point"))
+    facing = context.block_equations(_in_blocks(scan.select("idx", "x", "y", "z", "nx", "ny", "nz"), F.col("idx")), np.eye(4))  # a block a point
+    return pairs.join(facing, F.col("idx") == F.col("block")).select("idx", "r_idx")
 
 
 # ---------------------------------------------------------------------------------- boundaries
@@ -390,15 +403,14 @@ _JACOBIAN = ("p.y", "-p.x", "0e0", "0e0", "0e0", "1e0")  # cross(p, (0, 0, 1)),
     "pairs AS (SELECT p.idx // 256 AS block, CAST(p.y AS DOUBLE) AS j0, -CAST(p.x AS DOUBLE) AS j1, CAST(p.z AS DOUBLE) AS r, CASE WHEN abs(CAST(p.z AS DOUBLE)) <= 0.3e0 THEN 1e0 ELSE 0.3e0 / abs(CAST(p.z AS DOUBLE)) END AS w FROM near n JOIN scan p USING (idx))")
     + f"SELECT block, count(*) AS pairs, {', '.join(q_sql(f'sum(w * {e})') + f' AS {n}' for n, e in (('a00', 'j0 * j0'), ('a01', 'j0 * j1'), ('a05', 'j0'), ('a11', 'j1 * j1'), ('a15', 'j1'), ('a55', '1e0'), ('b0', '-r * j0'), ('b1', '-r * j1'), ('b5', '-r')))}, {q_sql('sum(abs(r))')} AS residual FROM pairs GROUP BY block")
 def icp_block_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, copies=False)
-    pairs = spatial.nearest_join(d.scan(spark, sf_dir).where("valid"), index, d.SEARCH, kind="double").where("r_idx IS NOT NULL")
-    x, y, z = (c.cast("double") for c in g.vector())
-    rz = F.col("r_z").cast("double")
-    r = z - rz
-    w = F.when(F.abs(r) <= 0.3, F.lit(1.0)).otherwise(F.lit(0.3) / F.abs(r))
-    terms = {"a00": y * y, "a01": -y * x, "a05": y, "a11": x * x, "a15": -x, "a55": F.lit(1.0), "b0": -r * y, "b1": r * x, "b5": -r}
-    block = F.floor(F.col("idx") / 256).cast("long").alias("block")
-    return pairs.groupBy(block).agg(F.count("*").alias("pairs"), *(q(F.sum(w * t)).alias(n) for n, t in terms.items()), q(F.sum(F.abs(r))).alias("residual"))
+    context = RegistrationContext(_surface(d.reference(spark, sf_dir).withColumns({c: F.lit(v).cast("float") for c, v in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0))})), _step_parameters("point_to_plane"))
+    block = F.floor(F.col("idx") / 256).cast("long")
+    scan = _in_blocks(d.scan(spark, sf_dir).where("valid").select("idx", "x", "y", "z"), block)
+    found = context.block_equations(scan, np.eye(4))
+    entry = lambda i: F.col("sums")[i]
+    matrix = {f"a{i}{j}": entry(6 * i + j) for i, j in ((0, 0), (0, 1), (0, 5), (1, 1), (1, 5), (5, 5))}
+    terms = matrix | {f"b{i}": entry(36 + i) for i in (0, 1, 5)}
+    return found.select("block", entry(43).cast("long").alias("pairs"), *(q(t).alias(n) for n, t in terms.items()), q(entry(42)).alias("residual"))
 
 
 _METRICS = [
@@ -466,10 +478,11 @@ def sha256_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(_with(_DEVIATION_SQL) + "SELECT idx, printf('%.6f %.6f ', CAST(x AS DOUBLE), CAST(y AS DOUBLE)) || CASE reason WHEN 'valid' THEN 0 WHEN 'input_invalid' THEN 1 WHEN 'no_neighbor' THEN 2 WHEN 'normal_missing' THEN 3 WHEN 'normal_mismatch' THEN 4 ELSE 5 END || ' -1' AS line FROM field")
 def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanloom.model import DEVIATION_REASONS
-    from scanloom.sources.point_files import reason_code
+    from scanloom.sources.point_files import attribute_line, reason_code
 
-    field = _field(spark, sf_dir)
-    return field.select("idx", F.format_string("%.6f %.6f %d %d", F.col("x").cast("double"), F.col("y").cast("double"), reason_code("reason", DEVIATION_REASONS), F.lit(-1)).alias("line"))
+    values = _field(spark, sf_dir).select("idx", "x", "y", "z", F.col("signed_mm").alias("scalar"), reason_code("reason", DEVIATION_REASONS).alias("reason"), F.lit(-1).alias("region_id"))
+    field = F.split(attribute_line(), " ")
+    return values.select("idx", F.concat_ws(" ", field[0], field[1], field[4], field[5]).alias("line"))
 
 
 @_register()

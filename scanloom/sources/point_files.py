@@ -373,16 +373,20 @@ def reason_code(column: str, reasons: Sequence[str]) -> Column:
     return F.array_position(F.array(*(F.lit(r) for r in reasons)), F.col(column)).cast("int") - 1
 
 
+def attribute_line() -> Column:
+    """One line of an attribute PLY file, six decimals."""
+    return F.format_string("%.6f %.6f %.6f %.6f %d %d", *(F.col(c).cast("double") for c in ("x", "y", "z", "scalar")), F.col("reason").cast("int"), F.col("region_id").cast("int"))
+
+
 def write_attribute_ply(attributes: DataFrame, path: str) -> int:
     """ASCII PLY of (idx, x, y, z, scalar, reason, region_id) rows in index order, six decimals. Returns the row count."""
     count = attributes.count()
     fs, inner = _open(path)
-    line = F.format_string("%.6f %.6f %.6f %.6f %d %d", *(F.col(c).cast("double") for c in ("x", "y", "z", "scalar")), F.col("reason").cast("int"), F.col("region_id").cast("int"))
     head = ["ply", "format ascii 1.0", f"element vertex {count}", "property float x", "property float y", "property float z", "property float scalar", "property uchar reason", "property int region_id", "end_header"]
     try:
         with fs.open_output_stream(inner) as out, io.BytesIO() as held:
             held.write(("\n".join(head) + "\n").encode())
-            for row in attributes.select("idx", line.alias("line")).orderBy("idx").toLocalIterator(prefetchPartitions=True):
+            for row in attributes.select("idx", attribute_line().alias("line")).orderBy("idx").toLocalIterator(prefetchPartitions=True):
                 held.write(row["line"].encode() + b"\n")
                 if held.tell() > 1 << 20:
                     out.write(held.getvalue())
