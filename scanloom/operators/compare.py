@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scanloom.functions import geometry as g
 from scanloom.functions.selection import nearest_rank
-from scanloom.operators.spatial import CELL, KernelIndex, index_for, indexed, nearest, placed, within
+from scanloom.operators.spatial import CELL, KernelIndex, index_for, indexed, met, nearest, placed, within
 
 _PAYLOAD = ("nx", "ny", "nz", "boundary")
 
@@ -95,11 +95,8 @@ def uncovered(reference: DataFrame, index: DataFrame, search: float) -> DataFram
 
 
 def _semi(reference: DataFrame, index: DataFrame, search: float, how: str) -> DataFrame:
-    q, i = placed(reference, search).alias("q"), index.alias("i")
-    _, condition = within(search, "float", ("x", "y", "z"))
-    for c in CELL:
-        condition = condition & (F.col(f"q.{c}") == F.col(f"i.{c}"))
-    return q.join(i, condition, how).drop(*CELL)
+    _, near = within(search, "float", ("x", "y", "z"))
+    return met(placed(reference, search), index, near, how=how).drop(*CELL)
 
 
 def deviation_report(field: DataFrame, padding: int = 0) -> dict:

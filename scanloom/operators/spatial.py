@@ -1,8 +1,10 @@
 """Spatial joins as equi-joins on grid cells.
 
 For radius r the grid has cells of edge 2r. The indexed side is copied to each cell its box [c - r, c + r] meets: two per
-axis at most and 2.25 in all for points on a plane. A query point lies in one cell only, so its partners
+axis, 8 in all for most points. A query point lies in one cell only, so its partners
 meet it there, each exactly once, and what follows the join can be grouped by (cell, query) without another shuffle.
+Spark's size estimates count neither these copies nor structs' fields, so an index of many times the broadcast limit would go
+through the driver: ``met`` always deals both sides out by cell.
 """
 
 from __future__ import annotations
@@ -62,6 +64,13 @@ def within(radius: float, kind: str, point: Sequence[str]) -> tuple[Column, Colu
     return d2, d2 <= limit * limit
 
 
+def met(queries: DataFrame, index: DataFrame, condition: Column, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """Query rows (alias q) joined with the indexed rows (alias i) of their cell and keys; never by a broadcast of either side."""
+    for c in (*keys, *CELL):
+        condition = condition & (F.col(f"q.{c}") == F.col(f"i.{c}"))
+    return queries.alias("q").join(index.alias("i").hint("merge"), condition, how)
+
+
 def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: Sequence[str] = (), keys: Sequence[str] = (), kind: str = "float", point: Sequence[str] = ("x", "y", "z"), idx: str = "idx") -> DataFrame:
     """Left join: every query row with its nearest indexed row within ``radius`` (inclusive), least index on ties.
 
@@ -69,16 +78,10 @@ def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: S
     ``kind`` is the arithmetic of distances and bound: "float" as in comparisons, "double" as in registration.
     """
     d2, near = within(radius, kind, point)
-    spots = placed(queries, radius, point)
-    on = [F.col(f"q.{c}") == F.col(f"i.{c}") for c in (*keys, *CELL)]
-    q, i = spots.alias("q"), index.alias("i")
-    condition = on[0]
-    for c in on[1:]:
-        condition = condition & c
-    met = q.join(i, condition & near, "left")
+    pairs = met(placed(queries, radius, point), index, near, keys, "left")
     best = F.struct(d2.alias("d2"), F.col("r_idx"), *(F.col(f"r_{c}") for c in ("x", "y", "z", *payload)))
     columns = [c for c in queries.columns]
-    grouped = met.groupBy(*(F.col(f"q.{c}").alias(c) for c in (*keys, *CELL, idx)))
+    grouped = pairs.groupBy(*(F.col(f"q.{c}").alias(c) for c in (*keys, *CELL, idx)))
     rest = [c for c in columns if c not in (*keys, idx)]
     # the other query columns are equal in each group
     found = grouped.agg(F.min(F.when(F.col("r_idx").isNotNull(), best)).alias("__best"), F.first(F.struct(*(F.col(f"q.{c}").alias(c) for c in rest))).alias("__own"))
@@ -142,13 +145,9 @@ def nearest(queries: DataFrame, index: KernelIndex | DataFrame, radius: float, p
 def radius_join(queries: DataFrame, index: DataFrame, radius: float, keys: Sequence[str] = (), kind: str = "double", point: Sequence[str] = ("x", "y", "z")) -> DataFrame:
     """Inner join: every (query row, indexed row) within ``radius``, inclusive, with d2. Rows stay dealt by (keys, cell)."""
     d2, near = within(radius, kind, point)
-    q, i = placed(queries, radius, point).alias("q"), index.alias("i")
-    condition = near
-    for c in (*keys, *CELL):
-        condition = condition & (F.col(f"q.{c}") == F.col(f"i.{c}"))
     kept = [F.col(f"q.{c}").alias(c) for c in (*queries.columns, *CELL)]
     more = [F.col(f"i.{c}").alias(c) for c in index.columns if c not in (*keys, *CELL)]
-    return q.join(i, condition).select(*kept, *more, d2.alias("d2"))
+    return met(placed(queries, radius, point), index, near, keys).select(*kept, *more, d2.alias("d2"))
 
 
 def knn_join(points: DataFrame, k: int, radius: float, idx: str = "idx", max_rounds: int = 40) -> DataFrame:

@@ -295,3 +295,14 @@ def test_validate_surface_rejects_unknown_unit(spark):
     s = from_points(spark, [(0, 0, 0)])
     with pytest.raises(InspectionError):
         validate_surface(type(s)(s.df, "inch", "fixture", False))
+
+
+def test_cell_joins_never_broadcast_an_index_whose_copies_no_estimate_counts(spark):
+    points = S.surface(spark, *S.plane()).df.withColumn("boundary", F.lit(False))
+    payload, facing = ("nx", "ny", "nz", "boundary"), spatial.indexed(points, 0.8, ("nx", "ny", "nz"), copies=False)
+    index = spatial.indexed(points, 0.8, payload, copies=False)
+    assert index.count() > 7 * points.count()
+    met = [spatial.nearest_join(points, index, 0.8, payload), spatial.nearest_join(points, facing, 0.8, ("nx", "ny", "nz"), kind="double"), spatial.radius_join(points, index, 0.8), compare.covered(points, index, 0.8), compare.uncovered(points, index, 0.8)]
+    for df in met:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
