@@ -27,9 +27,13 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scanloom.llm.tokens import slices
+
 KINDS = ("assign", "access", "hex", "literal")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 THRESHOLD = 0.62
+#: Texts are redacted in slices of so many bytes (a text at least), so that few are held as Python strings at once.
+SLICE_BYTES = 1 << 20
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _KEYWORD = re.compile(r"(?ai)passw|secret|token|api_?key")
@@ -378,7 +382,7 @@ def redact_table(df: DataFrame, text: str = "text", length: str | None = "n_char
     at, size = names.index(text), names.index(length) if length in names else None
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text, SLICE_BYTES):
             old = batch.column(at).to_pylist()
             new = [redact(t) for t in old]
             arrays = list(batch.columns)

@@ -200,6 +200,22 @@ def test_scan_and_redaction(spark):
     assert secrets.scan(C.empty(spark)).count() == 0
 
 
+def test_redaction_holds_few_texts_at_once():
+    class Rows:
+        columns, schema = ["doc_id", "text", "n_chars"], None
+
+        def mapInArrow(self, f, schema):
+            return f
+
+    texts = [None, "", *("a b " * 50_000 + f'token = "0123456789abcdef{i:08d}"' for i in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(42)), pa.array(texts), pa.array([None if t is None else len(t) for t in texts])], names=Rows.columns)
+    out = list(secrets.redact_table(Rows())(iter([batch])))
+    assert max(b.num_rows for b in out) <= 8 and sum(b.num_rows for b in out) == 42  # 200 KB a text
+    rows = pa.Table.from_batches(out).to_pydict()
+    assert rows["doc_id"] == list(range(42)) and rows["text"] == [secrets.redact(t) for t in texts]
+    assert rows["n_chars"] == [None if t is None else len(t) for t in rows["text"]] and "[REDACTED]" in rows["text"][-1]
+
+
 # ------------------------------------------------------------------------------ extraction
 
 
