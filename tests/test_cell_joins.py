@@ -11,6 +11,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 QUERIES = [
     "cluster_edges",
+    "deviation_field",
 ]
 
 
