@@ -12,6 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's ta
 QUERIES = [
     "cluster_edges",
     "deviation_field",
+    "region_severity",
 ]
 
 
