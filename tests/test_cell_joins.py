@@ -13,6 +13,7 @@ QUERIES = [
     "cluster_edges",
     "deviation_field",
     "region_severity",
+    "streamed_scans",
 ]
 
 
