@@ -14,6 +14,7 @@ QUERIES = [
     "deviation_field",
     "region_severity",
     "streamed_scans",
+    "attribute_lines",
 ]
 
 
