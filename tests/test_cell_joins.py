@@ -15,6 +15,7 @@ QUERIES = [
     "region_severity",
     "streamed_scans",
     "attribute_lines",
+    "bump_dent_candidates",
 ]
 
 
