@@ -16,6 +16,7 @@ QUERIES = [
     "streamed_scans",
     "attribute_lines",
     "bump_dent_candidates",
+    "defect_clusters",
 ]
 
 
