@@ -17,6 +17,7 @@ QUERIES = [
     "attribute_lines",
     "bump_dent_candidates",
     "defect_clusters",
+    "deviation_reason_counts",
 ]
 
 
