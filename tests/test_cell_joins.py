@@ -18,6 +18,7 @@ QUERIES = [
     "bump_dent_candidates",
     "defect_clusters",
     "deviation_reason_counts",
+    "many_scans",
 ]
 
 
