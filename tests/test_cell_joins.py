@@ -19,6 +19,7 @@ QUERIES = [
     "defect_clusters",
     "deviation_reason_counts",
     "many_scans",
+    "region_area",
 ]
 
 
