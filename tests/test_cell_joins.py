@@ -20,6 +20,7 @@ QUERIES = [
     "deviation_reason_counts",
     "many_scans",
     "region_area",
+    "region_report_json",
 ]
 
 
