@@ -21,6 +21,7 @@ QUERIES = [
     "many_scans",
     "region_area",
     "region_report_json",
+    "verdict",
 ]
 
 
