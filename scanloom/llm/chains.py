@@ -117,7 +117,7 @@ def log10_likelihood(tokens: np.ndarray, first: np.ndarray, model: Model, segmen
     for own in _pieces(s.sizes, chunk):
         p = Packed(tokens, s.begins[own], s.sizes[own])
         entry = np.where(s.opens[own][:, None], model.start, before[own] @ model.step)[p.order]
-        _, _, scale = forward(p, model, entry)
+        scale = forward(p, model, entry)[2]
         logs = np.bincount(p.owner, weights=np.log10(scale), minlength=len(own))
         out += np.bincount(s.text[own][p.order], weights=logs, minlength=len(out))
     return out
@@ -131,27 +131,30 @@ def expected_counts(tokens: np.ndarray, first: np.ndarray, model: Model, emissio
     k = len(model.start)
     opened, pairs = np.zeros(k), np.zeros((k, k))
     for own in _pieces(s.sizes, chunk):
-        p = Packed(tokens, s.begins[own], s.sizes[own])
-        opens, prev = s.opens[own][p.order], before[own][p.order]
-        emitted, alpha, scale = forward(p, model, np.where(opens[:, None], model.start, prev @ model.step))
-        end = after[own][p.order]
-        end /= (alpha[p.last] * end).sum(axis=1)[:, None]
-        gamma = np.empty_like(alpha)
-        active, base = p.active.tolist(), p.base.tolist()
-        beta = w = None
-        for t in range(len(active) - 1, -1, -1):
-            at, n = slice(base[t], base[t + 1]), active[t]
-            grown = active[t + 1] if t + 1 < len(active) else 0
-            now = end[:n].copy() if grown < n else np.empty((n, k))
-            if grown:
-                now[:grown] = w @ model.step.T
-                pairs += alpha[base[t] : base[t] + grown].T @ w
-            gamma[at] = alpha[at] * now
-            beta = now
-            w = emitted[at] * beta / scale[at][:, None]
-        if len(active):
-            pairs += prev[~opens].T @ w[~opens]
-            opened += gamma[: active[0]][opens].sum(axis=0)
-        for j in range(k):
-            emissions[:, j] += np.bincount(p.tokens, weights=gamma[:, j], minlength=len(emissions))
+        _count(Packed(tokens, s.begins[own], s.sizes[own]), model, s.opens[own], before[own], after[own], opened, pairs, emissions)
     return opened, pairs * model.step
+
+
+def _count(p: Packed, model: Model, opens: np.ndarray, prev: np.ndarray, end: np.ndarray, opened: np.ndarray, pairs: np.ndarray, emissions: np.ndarray) -> None:
+    """Add one group's counts; a call of its own, so that its arrays are gone before the next group's are made."""
+    opens, prev, end = opens[p.order], prev[p.order], end[p.order]
+    emitted, alpha, scale = forward(p, model, np.where(opens[:, None], model.start, prev @ model.step))
+    end /= (alpha[p.last] * end).sum(axis=1)[:, None]
+    gamma = alpha  # each step's forward probabilities are read last where its own are set
+    active, base = p.active.tolist(), p.base.tolist()
+    beta = w = None
+    for t in range(len(active) - 1, -1, -1):
+        at, n = slice(base[t], base[t + 1]), active[t]
+        grown = active[t + 1] if t + 1 < len(active) else 0
+        now = end[:n].copy() if grown < n else np.empty_like(end[:n])
+        if grown:
+            now[:grown] = w @ model.step.T
+            pairs += alpha[base[t] : base[t] + grown].T @ w
+        gamma[at] = alpha[at] * now
+        beta = now
+        w = emitted[at] * beta / scale[at][:, None]
+    if len(active):
+        pairs += prev[~opens].T @ w[~opens]
+        opened += gamma[: active[0]][opens].sum(axis=0)
+    for j in range(len(model.start)):
+        emissions[:, j] += np.bincount(p.tokens, weights=gamma[:, j], minlength=len(emissions))

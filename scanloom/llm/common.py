@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanloom.storage import cut, discard, scratch, shared_dir, stored
+from scanloom.storage import WIDE, cut, discard, scratch, shared_dir, stored
 
-__all__ = ["KEY", "ascii_bucket", "cut", "discard", "keyed", "row_key", "scratch", "shared_dir", "stored"]
+__all__ = ["KEY", "WIDE", "ascii_bucket", "cut", "discard", "keyed", "row_key", "scratch", "shared_dir", "stored"]
 
 #: Name of an internal row key; long and prefixed so that it does not clash with input columns.
 KEY = "__scanloom_key"

@@ -31,12 +31,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanloom.llm.chains import Model, expected_counts, log10_likelihood
-from scanloom.llm.common import ascii_bucket, discard, stored
+from scanloom.llm.common import WIDE, ascii_bucket, discard, stored
 from scanloom.llm.tokens import Words, mix, slices, split_words
 
 FOLDS = 10
@@ -52,9 +53,13 @@ SLICE_BYTES = 2 << 20
 #: Text of one block of rows, and text of which one part of the vocabulary gets the words: parts grow with the corpus.
 BLOCK_BYTES = 16 << 20
 PART_BYTES = 64 << 20
+#: Parts of the vocabulary of a small corpus, for each core.
+PARTS_PER_CORE = 8
 FULL = 65535
 #: Blocks' counts of first states and transitions are added up in so many groups.
 STAT_GROUPS = 64
+#: Rows of arrays that are worked on at a time.
+ROWS = 1 << 15
 END = b""
 
 
@@ -99,11 +104,11 @@ def _bytes_of(words: Words, at: np.ndarray) -> pa.Array:
 
 def _hash(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each binary value, by its bytes alone (the word hashes of ``split_words``)."""
-    joined = b" ".join(words.to_pylist())
     out = np.zeros(len(words), dtype=np.uint64)
     full = np.flatnonzero(np.diff(np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1])) if len(words) else np.empty(0, np.int64)
     if len(full):
-        data = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, len(joined)], dtype=np.int64)), pa.py_buffer(joined))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(words)], pa.int64()), words), pa.scalar(b" ", pa.binary()))[0].as_buffer()
+        data = pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, joined.size], dtype=np.int64)), joined)
         out[full] = split_words(data, lower=False).hashes
     return out
 
@@ -126,19 +131,21 @@ def encode(rows: DataFrame, parts: int) -> DataFrame:
         def closed(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
             found = pa.chunked_array(listed, pa.binary()).combine_chunks().dictionary_encode()
             place, distinct = found.indices.to_numpy(), len(found.dictionary)
-            tokens = [place[flat] for _, flat, _ in held]
+            listed.clear()
             counts = np.zeros(distinct, dtype=np.int64)
             trained = np.zeros(distinct, dtype=np.int64)
-            for (batch, _, ends), own in zip(held, tokens):
+            for i, (batch, flat, ends) in enumerate(held):
+                own = place[flat]
+                held[i] = batch, own, ends
                 counts += np.bincount(own, minlength=distinct)
                 trains = ~batch.column("held_out").to_numpy(zero_copy_only=False)
                 trained += np.bincount(own[np.repeat(trains, np.diff(ends))], minlength=distinct)
             order = np.argsort(-counts, kind="stable")
-            rank = np.empty(distinct, dtype=np.int64)
-            rank[order] = np.arange(distinct)
+            rank = np.empty(distinct, dtype=np.int32)
+            rank[order] = np.arange(distinct, dtype=np.int32)
             words = found.dictionary.take(pa.array(order))
             schema = pa.schema([("block", pa.int64()), ("id", id_type), ("held_out", pa.bool_()), ("tokens", pa.binary()), ("part", pa.int32()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
-            for (batch, _, ends), own in zip(held, tokens):
+            for batch, own, ends in held:
                 own = rank[own]
                 n = batch.num_rows
                 packed = pa.array([pack(own[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
@@ -158,18 +165,17 @@ def encode(rows: DataFrame, parts: int) -> DataFrame:
             words = split_words(batch.column("text"), lower=True)
             _, at, which = np.unique(words.hashes, return_index=True, return_inverse=True)
             ends = np.concatenate([[0], np.cumsum(words.counts + 1)])
-            flat = np.full(int(ends[-1]), n_words, dtype=np.int64)  # the end is the slice's first word
+            flat = np.full(int(ends[-1]), n_words, dtype=np.int32)  # the end is the slice's first word
             inside = np.ones(len(flat), dtype=bool)
             inside[ends[1:] - 1] = False
             flat[inside] = n_words + 1 + which
-            held.append((batch.select(["id", "held_out"]), flat, ends))
+            held.append((batch.select(["id", "held_out"]).take(pa.array(np.arange(batch.num_rows))), flat, ends))  # a slice would hold the texts too
             listed += [pa.array([END], pa.binary()), _bytes_of(words, at)]
             n_words, n_bytes = n_words + 1 + len(at), n_bytes + len(words.data)
             if n_bytes >= BLOCK_BYTES:
                 yield from closed(id_type)
                 block, n_words, n_bytes = block + 1, 0, 0
                 held.clear()
-                listed.clear()
         if held:
             yield from closed(id_type)
 
@@ -221,8 +227,16 @@ _UP = "part int, block long, ids binary, counts binary, shares binary"
 _DOWN = "block long, part int, ids binary, counts binary, shares binary"
 
 
+def _some(n: int) -> Iterator[slice]:
+    """All of ``n`` rows, some at a time: what is computed from them besides the result stays small."""
+    yield from (slice(a, a + ROWS) for a in range(0, n, ROWS))
+
+
 def _quantised(shares: np.ndarray) -> np.ndarray:
-    return np.rint(shares * FULL).astype(np.uint16)
+    out = np.empty(shares.shape, dtype=np.uint16)
+    for at in _some(len(shares)):
+        out[at] = np.rint(shares[at] * FULL)
+    return out
 
 
 def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -257,7 +271,7 @@ def _listed(encoded: DataFrame, table: Broadcast) -> DataFrame:
         counts = np.zeros(len(found.dictionary), dtype=np.int64)
         np.add.at(counts, place, np.concatenate(_numbers(rows["counts"], np.int32)))
         bucket = (mix(_hash(found.dictionary)) % np.uint64(BUCKETS)).astype(np.int64)
-        return _answer(rows["block"].to_numpy(), part, np.split(place, np.cumsum(sizes)[:-1]), counts, _quantised(table.value[bucket]))
+        return _answer(rows["block"].to_numpy(), part, np.split(place, np.cumsum(sizes)[:-1]), counts, _quantised(table.value)[bucket])
 
     return encoded.select("part", "block", "words", "counts").where("part IS NOT NULL").groupBy("part").applyInArrow(run, _DOWN)
 
@@ -303,33 +317,59 @@ class Block:
 
     def __init__(self, met: pa.Table, totals: Totals) -> None:
         states = len(totals.by_state)
-        met = met.sort_by("part")
-        ids = _numbers(met["ids"], np.int32)
-        self.parts, self.sizes = met["part"].to_numpy(), np.array([len(x) for x in ids], dtype=np.int64)
+        by = np.argsort(met["part"].to_numpy(), kind="stable").tolist()
+        sorted_numbers = lambda *a: (lambda found: [found[i] for i in by])(_numbers(*a))
+        ids = sorted_numbers(met["ids"], np.int32)
+        self.parts, self.sizes = met["part"].to_numpy()[by], np.array([len(x) for x in ids], dtype=np.int64)
         self.ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        self.counts = np.concatenate(_numbers(met["counts"], np.int64)) if ids else np.empty(0, np.int64)
-        shares = np.concatenate(_numbers(met["shares"], np.uint16, states)) if ids else np.empty((0, states))
+        self.counts = np.concatenate(sorted_numbers(met["counts"], np.int64)) if ids else np.empty(0, np.int64)
+        shares = np.concatenate(sorted_numbers(met["shares"], np.uint16, states)) if ids else np.empty((0, states))
         self.base = (self.counts + ADD) / totals.whole
         mass = 1 - ADD / totals.whole  # of known words
-        own = self.counts[:, None] * shares / np.maximum(totals.by_state, 1.0)
-        flat = self.counts / max(1, totals.total)
         empty = totals.by_state <= 0
-        self.emit = mass * np.where(empty, flat[:, None], (1 - MIX) * own + MIX * flat[:, None])
+        self.emit = np.empty((len(self.counts), states))
+        for at in _some(len(self.counts)):
+            counts = self.counts[at, None]
+            own = counts * shares[at] / np.maximum(totals.by_state, 1.0)
+            flat = counts / max(1, totals.total)
+            self.emit[at] = mass * np.where(empty, flat, (1 - MIX) * own + MIX * flat)
         self.emit[self.counts == 0] = ADD / totals.whole
 
 
-def _tokens(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    found = [unpack(x.as_buffer()) for x in rows["tokens"]]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-    return np.concatenate(found) if found else np.empty(0, np.int32), first
+def _tokens(rows: pa.Table, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' tokens, as places among the parts' words, and where each text's begin."""
+    packed = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in rows["tokens"] if x.is_valid]
+    first = np.concatenate([[0], np.cumsum([np.count_nonzero(x < 128) for x in packed])]).astype(np.int64)
+    out = np.empty(int(first[-1]), dtype=np.int32)
+    for x, a, b in zip(packed, first[:-1].tolist(), first[1:].tolist()):
+        out[a:b] = place[unpack(x)]
+    return out, first
+
+
+def _sums(values: np.ndarray, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sum of the tokens' ``values`` for each text, some texts at a time."""
+    out = np.empty(len(first) - 1, dtype=values.dtype)
+    many = first[:-1] // ROWS
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(many)) + 1, [len(out)]]).tolist() if len(out) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        out[a:b] = np.add.reduceat(values[tokens[first[a] : first[b]]], first[a:b] - first[a])
+    return out
+
+
+def _times(tokens: np.ndarray, distinct: int) -> np.ndarray:
+    """How often each word occurs."""
+    out = np.zeros(distinct, dtype=np.int32)
+    for a in range(0, len(tokens), step := max(ROWS, distinct)):
+        out += np.bincount(tokens[a : a + step], minlength=distinct).astype(np.int32)
+    return out
 
 
 def _opened(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A block's texts, and for each word of its list the place among the parts' words."""
-    texts = rows.filter(rows["tokens"].is_valid())
-    (dealt,) = _numbers(rows.filter(rows["counts"].is_valid())["counts"], np.int32)
-    place = np.empty(len(dealt), dtype=np.int64)
-    place[dealt] = np.arange(len(dealt))
+    """A block's texts without their tokens, and for each word of its list the place among the parts' words."""
+    texts = rows.select(["id", "held_out"]).filter(rows["tokens"].is_valid())
+    (dealt,) = _numbers(rows["counts"].drop_null(), np.int32)
+    place = np.empty(len(dealt), dtype=np.int32)
+    place[dealt] = np.arange(len(dealt), dtype=np.int32)
     return texts, place
 
 
@@ -340,13 +380,12 @@ def _expect(sent: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
         start, step, totals = sent.value
         states, number = len(start), rows["block"][0].as_py()
         block = Block(met, totals)
-        texts, place = _opened(rows)
-        tokens, first = _tokens(texts)
-        tokens = place[tokens]
+        tokens, first = _tokens(rows, _opened(rows)[1])
         emissions = np.zeros((len(block.base), states))
         opened, pairs = expected_counts(tokens, first, Model(start, step, block.emit), emissions)
-        trained = np.bincount(tokens, minlength=len(block.base)).astype(np.int32)
-        shares = _quantised(emissions / np.maximum(emissions.sum(axis=1, keepdims=True), 1e-300))
+        trained = _times(tokens, len(block.base))
+        emissions /= np.maximum(emissions.sum(axis=1, keepdims=True), 1e-300)
+        shares = _quantised(emissions)
         cuts = np.cumsum(block.sizes)[:-1]
         more = np.concatenate([opened, pairs.ravel()])
         return pa.table([
@@ -367,11 +406,10 @@ def _scored(sent: Broadcast, learned: bool) -> Callable[[pa.Table, pa.Table], pa
         start, step, totals = sent.value
         block = Block(met, totals)
         texts, place = _opened(rows)
-        tokens, first = _tokens(texts)
-        tokens = place[tokens]
+        tokens, first = _tokens(rows, place)
         n = texts.num_rows
-        base = np.add.reduceat(np.log10(block.base)[tokens], first[:-1]) if n else np.empty(0)
-        known = np.add.reduceat((block.counts > 0)[tokens].astype(np.int64), first[:-1]) if n else np.empty(0, np.int64)
+        base = _sums(np.log10(block.base), tokens, first)
+        known = _sums((block.counts > 0).astype(np.int64), tokens, first)
         likely = log10_likelihood(tokens, first, Model(start, step, block.emit)) if learned else np.zeros(n)
         return pa.table([texts["id"], texts["held_out"], pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(likely)], names=["id", "held_out", "n_tokens", "n_known", "base", "likely"])
 
@@ -383,8 +421,11 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", states:
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size["bytes"] // PART_BYTES))
-    encoded = stored(encode(rows, parts), "blocks")
+    # tables are written by as many tasks as their size or the cores ask for: input splits and shuffle partitions can be far more, each a file
+    cores = spark.sparkContext.defaultParallelism
+    blocks, tasks = (max(cores, -(-size["bytes"] // most)) for most in (BLOCK_BYTES, PART_BYTES))
+    parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_CORE * cores), -(-size["bytes"] // PART_BYTES))
+    encoded = stored(encode(rows.coalesce(blocks), parts), "blocks", WIDE)
     texts = encoded.where("part IS NULL").select("block", "id", "held_out", "tokens", "counts")
     training = texts.where("held_out IS NULL OR NOT held_out")
 
@@ -392,13 +433,13 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", states:
     drawn = F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 2 * SAMPLE / max(1, size["n"])))
     sample = rows.where("NOT held_out").where((F.octet_length("text") <= SAMPLE_BYTES) & drawn).orderBy(hashed, "text").limit(SAMPLE).select("text").toArrow()
     table = spark.sparkContext.broadcast(first_shares(sample["text"].to_pylist(), states))
-    down = stored(_listed(encoded, table), "words")
+    down = stored(_listed(encoded, table).coalesce(tasks), "words", WIDE)
     totals = Totals.of(down, states)
     start, step = first_steps(states)
     for _ in range(passes if totals.total else 0):
         sent = spark.sparkContext.broadcast((start, step, totals))
         up = _by_block(training, down, _expect(sent), _UP)
-        before, down = down, stored(_merged(up, states), "pass")
+        before, down = down, stored(_merged(up, states).coalesce(tasks), "pass", WIDE)
         found = down.where("block = -2").select("counts").toArrow()["counts"]  # at most STAT_GROUPS rows
         more = np.sort([np.frombuffer(x.as_buffer(), dtype=np.float64) for x in found], axis=0).sum(axis=0)
         start, step = more[:states] + 1.0, more[states:].reshape(states, states) + 1.0

@@ -33,10 +33,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there."""
+#: For tables with values of 100 KB and more: a page's size is looked at after each row, where Parquet waits for 100 of them and then
+#: holds, compresses and reads back all that as one page.
+WIDE = {"parquet.page.size.row.check.min": "1", "parquet.page.size.check.estimate": "false"}
+
+
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there. ``options`` are the writer's."""
     path = f"{scratch(df.sparkSession, name)}/table"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
