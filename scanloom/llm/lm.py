@@ -421,11 +421,11 @@ def score_table(df: DataFrame, key: str = "doc_id", text: str = "text", states:
     spark = df.sparkSession
     rows = df.select(F.col(key).alias("id"), (ascii_bucket(key, FOLDS) == 0).alias("held_out"), F.col(text).alias("text"))
     size = rows.agg(F.count_if(~F.col("held_out")).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    # tables are written by as many tasks as their size or the cores ask for: input splits and shuffle partitions can be far more, each a file
+    # tables are written by no more tasks than there are blocks or cores: input splits and shuffle partitions can be far more, each a file
     cores = spark.sparkContext.defaultParallelism
-    blocks, tasks = (max(cores, -(-size["bytes"] // most)) for most in (BLOCK_BYTES, PART_BYTES))
+    tasks = max(cores, -(-size["bytes"] // BLOCK_BYTES))
     parts = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), PARTS_PER_CORE * cores), -(-size["bytes"] // PART_BYTES))
-    encoded = stored(encode(rows.coalesce(blocks), parts), "blocks", WIDE)
+    encoded = stored(encode(rows.coalesce(tasks), parts), "blocks", WIDE)
     texts = encoded.where("part IS NULL").select("block", "id", "held_out", "tokens", "counts")
     training = texts.where("held_out IS NULL OR NOT held_out")
 
