@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BLOCK = 256
@@ -106,15 +108,108 @@ def block_sums(block: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nd
     return ids, np.add.reduceat(values, first, axis=0) if len(ids) else values[:0]
 
 
-def regularized(points: np.ndarray, epsilon: float) -> np.ndarray:
-    """Covariances (n, 3, 3) of neighbourhoods (n, k, 3) with eigenvalues replaced by (epsilon, 1, 1)."""
+def principal(points: np.ndarray) -> np.ndarray:
+    """Axes (n, 3, 3) of neighbourhoods (n, k, 3), that of least spread first."""
     centred = points - points.mean(axis=1, keepdims=True)
     values, vectors = np.linalg.eigh(np.einsum("nki,nkj->nij", centred, centred))
     if not np.isfinite(values).all() or (values[:, 1] <= 1e-12).any():
         raise ValueError("a covariance neighbourhood is collinear or coincident")
+    return vectors
+
+
+def regularized(points: np.ndarray, epsilon: float) -> np.ndarray:
+    """Covariances (n, 3, 3) of neighbourhoods (n, k, 3) with eigenvalues replaced by (epsilon, 1, 1)."""
+    vectors = principal(points)
     return np.einsum("nij,j,nkj->nik", vectors, np.array([epsilon, 1.0, 1.0]), vectors)
 
 
+def flattened(axis: np.ndarray, epsilon: float) -> np.ndarray:
+    """The covariances of ``regularized`` from their first axes (n, 3), but for rounding."""
+    return np.eye(3) + (epsilon - 1.0) * axis[:, :, None] * axis[:, None, :]
+
+
+#: Pairs that are looked at together.
+PAIRS = 400_000
+
+
+def _least(q: np.ndarray, j: np.ndarray, d2: np.ndarray, n: np.ndarray, k: int) -> np.ndarray:
+    """(queries, k): of each query's n >= k pairs the k least by (d2, j), by j. Pairs are in the order of q."""
+    width, first = int(n.max()), np.cumsum(n) - n
+    if len(n) * width > 4 * len(q):
+        order = np.lexsort((j, d2, q))
+        return np.sort(j[order][first[:, None] + np.arange(k)], axis=1)
+    place = np.arange(len(q)) - first[q]
+    d, at = np.full((len(n), width), np.inf), np.full((len(n), width), np.iinfo(np.int64).max)
+    d[q, place], at[q, place] = d2, j
+    chosen = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    ties = chosen.sum(axis=1) > k
+    out = np.empty((len(n), k), dtype=np.int64)
+    out[~ties] = at[~ties][chosen[~ties]].reshape(-1, k)
+    if ties.any():
+        out[ties] = np.take_along_axis(at[ties], np.lexsort((at[ties], d[ties]), axis=1)[:, :k], axis=1)
+    return np.sort(out, axis=1)
+
+
+def k_nearest(points: np.ndarray, asked: np.ndarray, k: int, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some of ``asked``, their k nearest points): places in ``points``, least first; -1 where fewer than k are within ``reach``.
+
+    Nearest by (squared distance, place). Radii grow up to the reach, and end for a point once k are within.
+    """
+    order = np.lexsort(points.T)
+    starts = np.append(True, (points[order[1:]] != points[order[:-1]]).any(axis=1))
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    others = np.sort(order[rank < k])  # of the points at one place the k first
+    left = asked
+    radii = [reach / 2.0 ** (i / 2.0) for i in range(6, -1, -1)]
+    while radii:
+        radius = radii.pop(0)
+        cells = np.floor(points / radius).astype(np.int64)
+        low = cells.min(axis=0) - 1
+        size = cells.max(axis=0) - low + 2
+        key = ((cells[:, 0] - low[0]) * size[1] + cells[:, 1] - low[1]) * size[2] + cells[:, 2] - low[2]
+        by = others[np.argsort(key[others], kind="stable")]
+        keys, columns = key[by], np.array([(a * size[1] + b) * size[2] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+
+        def ranges(some: np.ndarray, keys: np.ndarray = keys, key: np.ndarray = key, columns: np.ndarray = columns) -> tuple[np.ndarray, np.ndarray]:
+            at = key[some][:, None] + columns
+            first = np.searchsorted(keys, at - 1)
+            return first, np.searchsorted(keys, at + 1, side="right") - first
+
+        if radii:  # a radius at which most points have too few others is left out
+            some = left[:: max(1, len(left) // 64)]
+            if (ranges(some)[1].sum(axis=1) < 2.5 * k).mean() > 0.5:
+                continue
+        left = left[np.argsort(key[left], kind="stable")]
+        again, done = [], 0
+        while done < len(left):
+            first, size_of = ranges(left[done : done + 8192])
+            upto = max(1, int(np.searchsorted(np.cumsum(size_of.sum(axis=1)), PAIRS)))
+            some, first, size_of = left[done : done + upto], first[:upto], size_of[:upto]
+            done += len(some)
+            flat = size_of.ravel()
+            ends = np.cumsum(flat)
+            j = by[np.arange(ends[-1]) + np.repeat(first.ravel() - ends + flat, flat)]
+            q = np.repeat(np.arange(len(some)), size_of.sum(axis=1))
+            d2 = np.zeros(len(q))
+            for c in range(3):
+                d = points[some, c][q] - points[j, c]
+                d2 += d * d
+            near = d2 <= radius * radius
+            q, j, d2 = q[near], j[near], d2[near]
+            n = np.bincount(q, minlength=len(some))
+            whole = n >= k
+            if not whole.all():
+                again.append(some[~whole])
+                kept = whole[q]
+                q, j, d2 = (np.cumsum(whole) - 1)[q[kept]], j[kept], d2[kept]
+            if whole.any():
+                yield some[whole], _least(q, j, d2, n[whole], k)
+        left = np.concatenate(again) if again else left[:0]
+        if not len(left):
+            return
+    yield left, np.full((len(left), k), -1)
+
+
 #: Cells of more points are looked through for points at one place.
 CROWD = 32
 

@@ -5,11 +5,13 @@ axis, 8 in all for most points. A query point lies in one cell only, so its part
 meet it there, each exactly once, and what follows the join can be grouped by (cell, query) without another shuffle.
 Spark's size estimates count neither these copies nor structs' fields, so an index of many times the broadcast limit would go
 through the driver: ``met`` always deals both sides out by cell.
+
+Where a kernel looks partners up, points are dealt by tiles instead: cubes of many cells, whose border alone is copied.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from scanloom.functions import geometry as g
-from scanloom.functions.kernels import CellIndex
+from scanloom.functions.kernels import CellIndex, k_nearest
 from scanloom.storage import cut
 
 CELL = ("__cx", "__cy", "__cz")
+TILE = ("__tx", "__ty", "__tz")
 _SLACK = 1.0 + 1e-6
+#: Points of a tile at most, while tiles stay above four reaches and below TILES in number.
+TILE_POINTS = 100_000
+TILES = 65_536
 #: Points a kernel index holds at most: about 100 MB with normals.
 KERNEL_POINTS = 2_000_000
 
@@ -93,6 +99,96 @@ def nearest_join(queries: DataFrame, index: DataFrame, radius: float, payload: S
     )
 
 
+def tile_edge(points: DataFrame, reach: float) -> tuple[float, int]:
+    """The longest edge, from four reaches up by doubling, whose tiles hold at most TILE_POINTS points; longer if they were more than TILES.
+
+    With it the points of its fullest tile.
+    """
+    low = 4.0 * reach * _SLACK
+    cells = points.groupBy(*(g.cell(F.col(c), low).alias(t) for c, t in zip("xyz", TILE))).agg(F.count("*").alias("n"))
+    levels = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(30))))
+    up = [F.expr(f"shiftright({t}, level)").alias(t) for t in TILE]
+    tiles = levels.groupBy("level", *up).agg(F.sum("n").alias("n")).groupBy("level").agg(F.max("n").alias("most"), F.count("*").alias("tiles"))
+    found = sorted((r["level"], r["most"], r["tiles"]) for r in tiles.collect())
+    best, most = found[0][0], found[0][1]
+    for (level, n, _), (_, _, finer) in zip(found[1:], found):
+        if n <= TILE_POINTS or finer > TILES:
+            best, most = level, n
+    return low * 2.0**best, most
+
+
+def tiled(points: DataFrame, edge: float, reach: float) -> DataFrame:
+    """One row for each tile that a point's box meets."""
+    for name, c in zip(TILE, "xyz"):
+        at = F.col(c).cast("double")
+        points = points.withColumn(name, F.explode(F.sequence(F.floor((at - reach * _SLACK) / edge).cast("long"), F.floor((at + reach * _SLACK) / edge).cast("long"))))
+    return points
+
+
+def tiles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch, bool]]:
+    """Runs of one tile in rows that are sorted by tile: the tile, its rows as far as the batch goes, and whether they begin it."""
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.column_stack([batch.column(batch.schema.get_field_index(t)).to_numpy() for t in TILE])
+        ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for first, last in zip([0, *ends], ends):
+            tile = tuple(keys[first].tolist())
+            yield tile, batch.slice(first, last - first), tile != before
+            before = tile
+
+
+def knn_in_tiles(points: DataFrame, k: int, radius: float, edge: float, finish: Callable[[np.ndarray], np.ndarray], names: Sequence[str], asked: DataFrame | None = None) -> DataFrame:
+    """``points``, or those of them ``asked`` for, with what ``finish`` makes of the k nearest points of each, itself included, by (d2, index).
+
+    ``finish`` takes places (n, k, 3) in index order and gives a column for each name. Rows of points with fewer than k within
+    ``radius`` have nulls. A worker holds a tile's points and all their columns.
+    """
+    kept = [c for c in points.columns if c != "idx"]
+    at = {t: g.cell(F.col(c), edge) for t, c in zip(TILE, "xyz")}
+    rows = tiled(points.select("idx", *kept), edge, radius)
+    if asked is None:
+        rows = rows.withColumn("__ask", (F.col(TILE[0]) == at[TILE[0]]) & (F.col(TILE[1]) == at[TILE[1]]) & (F.col(TILE[2]) == at[TILE[2]]))
+    else:
+        asked = asked.select("idx", *kept).withColumns(at)
+        rows = rows.join(asked.select(*TILE).distinct(), list(TILE), "left_semi").withColumn("__ask", F.lit(False)).unionByName(asked.withColumn("__ask", F.lit(True)))
+    dealt, apart = rows.repartition(*TILE).sortWithinPartitions(*TILE, "idx"), asked is not None
+    schema = StructType([*(f for f in points.select("idx", *kept).schema), *(StructField(c, DoubleType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(pieces: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(pieces).combine_chunks()
+            ask = table["__ask"].to_numpy()
+            if not ask.any():
+                return
+            table = table.select(["idx", *kept])
+            if apart:  # a row asks for the point of its index in another row
+                ids, table = table["idx"].to_numpy()[ask], table.filter(pa.array(~ask)).combine_chunks()
+                wanted = np.searchsorted(table["idx"].to_numpy(), ids)
+            else:
+                wanted = np.flatnonzero(ask)
+            p = np.column_stack([table[c].to_numpy() for c in "xyz"]).astype(float)
+            for some, near in k_nearest(p, wanted, k, radius):
+                whole = near[:, 0] >= 0
+                values = np.full((len(some), len(names)), np.nan)
+                if whole.any():
+                    values[whole] = finish(p[near[whole]])
+                own = table.take(pa.array(some)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(v, mask=~whole) for v in values.T)], names=schema.names)
+
+        pieces: list[pa.RecordBatch] = []
+        for _, rows, begins in tiles_of(batches):
+            if begins and pieces:
+                yield from solved(pieces)
+                pieces = []
+            pieces.append(rows)
+        if pieces:
+            yield from solved(pieces)
+
+    return dealt.mapInArrow(run, schema)
+
+
 class KernelIndex:
     """A cloud of bounded size held by every worker: nearest neighbours without a shuffle."""
 
@@ -150,16 +246,16 @@ def radius_join(queries: DataFrame, index: DataFrame, radius: float, keys: Seque
     return met(placed(queries, radius, point), index, near, keys).select(*kept, *more, d2.alias("d2"))
 
 
-def knn_join(points: DataFrame, k: int, radius: float, idx: str = "idx", max_rounds: int = 40) -> DataFrame:
+def knn_join(points: DataFrame, k: int, radius: float, idx: str = "idx", max_rounds: int = 40, queries: DataFrame | None = None) -> DataFrame:
     """(idx, r_idx, rank, d2, r_x, r_y, r_z): the k nearest points of each point, itself included, by (d2, index).
 
     Starts at ``radius``; points with fewer than k partners are looked up again at twice the radius. Those with k are
     complete, as everything within the radius has been seen. Points with fewer than k others keep them all.
-    Of the points at one place only the k of least index are looked up: others rank behind them.
+    Of the points at one place only the k of least index are looked up: others rank behind them. ``queries``: those of the points to look up.
     """
     total = points.count()
     k = min(k, total)
-    out, left = None, points
+    out, left = None, points if queries is None else queries
     place = Window.partitionBy("x", "y", "z").orderBy(idx)
     near = cut(points.select(idx, "x", "y", "z", F.row_number().over(place).alias("__copy")).where(F.col("__copy") <= k).drop("__copy"))
     for _ in range(max_rounds):

@@ -441,6 +441,7 @@ def _aligned(method: str) -> Query:
         shift = curved.withColumns({"x": (F.col("x") - 0.02).cast("float"), "y": (F.col("y") + 0.01).cast("float"), "z": (F.col("z") - 0.03).cast("float")})
         context = RegistrationContext(_surface(curved), RegistrationParameters(40, 0.4, 0.1, 1e-6, 1e-7, 1e-9, method))
         found = context.align(_surface(shift, frame="scanner"), RigidTransform.identity("scanner", "fixture"))
+        context.close()
         m = found.final_transform.matrix
         row = (found.convergence, found.iterations, found.valid_pairs, *(int(round(v * 1e4)) for v in (m[3], m[7], m[11])))
         return spark.createDataFrame([row], "convergence string, iterations int, valid_pairs long, tx_e4 long, ty_e4 long, tz_e4 long")

@@ -51,8 +51,13 @@ def discard(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         table = jvm.org.apache.hadoop.fs.Path(file).getParent()
         table.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    swept(df.sparkSession)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let Spark drop the files of shuffles that no plan refers to any more."""
     gc.collect()
-    jvm.System.gc()  # Spark drops the files of shuffles that no plan refers to any more
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
