@@ -206,12 +206,8 @@ def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(_with(d.REFERENCE_SQL, d.SCAN_SQL, d.nearest_sql("near", "scan", "reference", d.SEARCH, "DOUBLE")) + "SELECT n.idx, n.r_idx FROM near n JOIN scan s USING (idx) JOIN reference r ON r.idx = n.r_idx WHERE CAST(s.nz AS DOUBLE) * r.nz >= 0")
 def back_facing_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = spatial.indexed(d.reference(spark, sf_dir).where("valid"), d.SEARCH, ("nx", "ny", "nz"), copies=False)
-    scan = d.scan(spark, sf_dir).where("valid")
-    pairs = spatial.nearest_join(scan.select("idx", "x", "y", "z"), index, d.SEARCH, ("nx", "ny", "nz"), kind="double")
-    context = RegistrationContext(_surface(d.reference(spark, sf_dir)), _step_parameters("point_to_point"))
-    facing = context.block_equations(_in_blocks(scan.select("idx", "x", "y", "z", "nx", "ny", "nz"), F.col("idx")), np.eye(4))  # a block a point
-    return pairs.join(facing, F.col("idx") == F.col("block")).select("idx", "r_idx")
+    context = RegistrationContext(_surface(d.reference(spark, sf_dir)), _step_parameters("point_to_point"), broadcast_points=0)
+    return context.pairs(_surface(d.scan(spark, sf_dir)), np.eye(4))
 
 
 # ---------------------------------------------------------------------------------- boundaries

@@ -12,6 +12,9 @@ from scanloom.operators.registration import RegistrationContext, covariances
 from test_cell_joins import _plans
 
 
+DATA = "/root/testdata/sf0.001"
+
+
 class _Frame:
     """Stands for a scan: gives the function that would run on the executors."""
 
@@ -97,3 +100,19 @@ def test_tiles_find_the_pose_of_the_broadcast_index(spark, monkeypatch, method):
     for m in found[1:]:
         assert (m.convergence, m.iterations, m.valid_pairs) == (found[0].convergence, found[0].iterations, found[0].valid_pairs)
         assert np.allclose(m.final_transform.matrix, found[0].final_transform.matrix, atol=1e-9)
+
+
+def test_back_facing_filter_deals_by_tiles(spark, monkeypatch):
+    """Its rows by brute force, and no job of it deals out the cell index."""
+    from scanloom.plans import catalog
+    from scanloom.plans import derived as d
+
+    monkeypatch.setattr(spatial, "TILE_POINTS", 100)
+    before = max(_plans(spark), default=-1)
+    got = sorted(map(tuple, catalog.queries()["back_facing_filter"](spark, DATA).collect()))
+    assert not any("__cx" in plan for i, plan in _plans(spark).items() if i > before)
+    ref, scan = (np.array([tuple(r) for r in f(spark, DATA).where("valid").select("idx", "x", "y", "z", "nz").orderBy("idx").collect()]) for f in (d.reference, d.scan))
+    d2 = ((scan[:, None, 1:4] - ref[None, :, 1:4]) ** 2).sum(axis=2)
+    near = d2.argmin(axis=1)
+    kept = (d2.min(axis=1) <= d.SEARCH**2) & (scan[:, 4] * ref[near, 4] >= 0)
+    assert got == [(int(a), int(b)) for a, b in zip(scan[kept, 0], ref[near[kept], 0])]
